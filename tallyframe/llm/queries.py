@@ -7,20 +7,52 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.packing import shard_documents
+from tallyframe.llm import boosted_toxicity, line_crf, packing, piece_counts, raking, spaced_seeds
+
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = raking.mix_sources(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        F.col("__0").alias("source"),
+        F.col("__1").alias("lang"),
+        F.col("__2").alias("topic"),
+        F.col("__n").alias("n_tokens"),
+        F.round("__f", 6).alias("factor"),
+        F.round("__p", 6).alias("probability"),
+        F.col("__keep").alias("kept"),
+    )
+
+
+def op4_tokens(spark: SparkSession, sf_dir: str, pieces: str = PIECES) -> DataFrame:
+    return piece_counts.count_tokens(table(spark, sf_dir, "documents"), piece_counts.load_pieces(pieces))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seeds.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = shard_documents(table(spark, sf_dir, "documents"), 16)
+    out = packing.shard_documents(table(spark, sf_dir, "documents"), 16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boosted_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op6_sharding": op6_sharding,
+    q.__name__: q for q in (op2_quality, op3_mixing, op4_tokens, op5_decontamination, op6_sharding, op10_toxicity)
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -34,11 +34,12 @@ _powers: dict[int, np.ndarray] = {}
 
 @dataclass
 class Chunk:
-    """``ids`` is an Arrow array (nulls allowed); document d is ``buf[off[d]:off[d + 1]]``."""
+    """``ids`` is an Arrow array (nulls allowed); document d is ``buf[off[d]:off[d + 1]]``; ``rows`` has all columns."""
 
     ids: pa.Array
     buf: np.ndarray
     off: np.ndarray
+    rows: pa.RecordBatch | None = None
 
     def __len__(self) -> int:
         return len(self.ids)
@@ -63,7 +64,8 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterat
         while start < n:
             stop = int(np.searchsorted(off, off[start] + size, "right")) - 1
             stop = min(max(stop, start + 1), n)
-            yield Chunk(batch.column(0).slice(start, stop - start), buf[off[start] : off[stop]], off[start : stop + 1] - off[start])
+            rows = batch.slice(start, stop - start)
+            yield Chunk(rows.column(0), buf[off[start] : off[stop]], off[start : stop + 1] - off[start], rows)
             start = stop
 
 
@@ -145,7 +147,7 @@ def drop_bytes(chunk: Chunk, dropped: np.ndarray) -> Chunk:
     keep = ~dropped[chunk.buf]
     kept = np.zeros(len(chunk.buf) + 1, np.int64)
     np.cumsum(keep, out=kept[1:])
-    return Chunk(chunk.ids, chunk.buf[keep], kept[chunk.off])
+    return Chunk(chunk.ids, chunk.buf[keep], kept[chunk.off], chunk.rows)
 
 
 def per_range(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
