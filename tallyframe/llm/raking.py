@@ -79,7 +79,7 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     dims: list[Column] | None = None,
-    power: float = 0.9,
+    power: float = 0.95,
     sweeps: int = 6,
 ) -> DataFrame:
     """All rows and columns of ``docs`` with __0, __1, __2 (cell), __n (tokens), __f (factor), __p (probability), __keep.
