@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import boosted_toxicity, line_crf, packing, piece_counts, raking, spaced_seeds
+from tallyframe.llm import boosted_toxicity, line_crf, ngram_join, packing, piece_counts, raking, spaced_seeds, store, warc
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,12 +51,17 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(table(spark, sf_dir, "pages"), store.work_dir(spark, "warc"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosted_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op2_quality, op3_mixing, op4_tokens, op5_decontamination, op6_sharding, op10_toxicity)
+    q.__name__: q for q in (op1_ngram_join, op2_quality, op3_mixing, op4_tokens, op5_decontamination, op6_sharding, op7_warc, op10_toxicity)
 }
 
 ORACLE_SQL: dict[str, str] = {}
