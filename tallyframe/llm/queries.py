@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import boosted_toxicity, line_crf, ngram_join, packing, piece_counts, raking, spaced_seeds, store, warc
+from tallyframe.llm import bloom_lm, boosted_toxicity, line_crf, ngram_join, packing, piece_counts, raking, spaced_seeds, store, suffix_dedup, warc
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -56,12 +56,20 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=200)
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosted_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op1_ngram_join, op2_quality, op3_mixing, op4_tokens, op5_decontamination, op6_sharding, op7_warc, op10_toxicity)
+    q.__name__: q for q in (op1_ngram_join, op2_quality, op3_mixing, op4_tokens, op5_decontamination, op6_sharding, op7_warc, op8_suffix_dedup, op9_lm_scoring, op10_toxicity)
 }
 
 ORACLE_SQL: dict[str, str] = {}
