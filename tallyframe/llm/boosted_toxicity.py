@@ -283,6 +283,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample_d
     return final, BoostedTrees.fit(x, y, weight), isotonic(apart, y, weight)
 
 
+def scorer(fitted):
+    """A function of a chunk: calibrated scores."""
+    lexicons, trees, knots = fitted
+    model = None if trees is None else (trees.start, trees.trees)
+    return lambda chunk: np.zeros(len(chunk)) if model is None else np.interp(BoostedTrees(*model).predict(features_of(chunk, *lexicons)), *knots)
+
+
 def toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -303,14 +310,36 @@ def toxicity(
     unknown documents or other values are ignored. Without both classes in the
     sample every score is 0. An empty table gives no rows.
     """
-    lexicons, trees, knots = fit(docs, labels, id_col, text_col, sample_docs, least, odds, lexicon_size)
-    model = None if trees is None else (trees.start, trees.trees)
+    score_chunk = scorer(fit(docs, labels, id_col, text_col, sample_docs, least, odds, lexicon_size))
 
     def run(batches):
         for chunk in chunks(batches):
-            x = features_of(chunk, *lexicons)
-            score = np.zeros(len(chunk)) if model is None else np.interp(BoostedTrees(*model).predict(x), *knots)
+            score = score_chunk(chunk)
             yield pa.RecordBatch.from_arrays([chunk.ids, pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     scored = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, score double, predicted int")
     return scored.select("doc_id", F.coalesce(id_crc("doc_id") % 4 == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def drop_toxic(
+    docs: DataFrame,
+    labels: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: float = 0.3,
+    sample_docs: int = 6000,
+    least: int = 3,
+    odds: float = 1.5,
+    lexicon_size: int = 20_000,
+) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with all their columns; nothing is shuffled."""
+    score_chunk = scorer(fit(docs, labels, id_col, text_col, sample_docs, least, odds, lexicon_size))
+    columns = docs.columns
+    rows = docs.select(id_col, text_col, *(c for c in columns if c not in (id_col, text_col)))
+
+    def run(batches):
+        for chunk in chunks(batches):
+            yield chunk.rows.filter(pa.array(score_chunk(chunk) < threshold))
+
+    return rows.mapInArrow(run, rows.schema).select(*columns)

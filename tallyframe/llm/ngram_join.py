@@ -368,3 +368,18 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     classes = reps.select(*key, F.col("rep")).join(linked_sets.withColumnRenamed("id", "rep"), "rep", "left").select(*key, F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
     out = own.select("id", *key).join(classes, key, "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("class_id", "id").alias("class_id"))
+
+
+def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, once each, with all their columns.
+
+    Documents without words stay, each of them. Rows without an id can't be named by
+    a link and stay as well.
+    """
+    found = cut(similar_documents(docs, id_col=id_col, text_col=text_col, k=k, percent=percent))
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col))
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    out = docs.join(kept.distinct() if repeated else kept, id_col, "left_semi")
+    if repeated:
+        out = out.dropDuplicates([id_col])
+    return out.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)

@@ -46,11 +46,15 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seeds.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = packing.shard_documents(table(spark, sf_dir, "documents"), 16)
+def shards(docs: DataFrame) -> DataFrame:
+    out = packing.shard_documents(docs, 16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.round_trip(table(spark, sf_dir, "pages"), store.work_dir(spark, "warc"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

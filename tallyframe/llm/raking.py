@@ -97,7 +97,8 @@ def mix_sources(
     factor = F.col("w") / F.nullif(F.col("tokens"), F.lit(0)).cast("double")
     raked = raked.select(*keys, factor.alias("__f"))
     top = raked.agg(F.max("__f").alias("__top"))
-    raked = raked.join(F.broadcast(top)).select(*keys, (F.col("__f") / F.col("__top")).alias("__r"), "__f")
+    # written, so that the join below knows its size
+    raked = cut(raked.join(F.broadcast(top)).select(*keys, (F.col("__f") / F.col("__top")).alias("__r"), "__f"))
     out = rows.join(raked, keys)
     p = F.coalesce(F.least(F.col("__r"), F.lit(1.0)), F.lit(1.0))
     return out.withColumn("__p", p).withColumn("__keep", F.coalesce(unit_hash(F.col(id_col)), F.lit(0.0)) < F.round("__p", 9))

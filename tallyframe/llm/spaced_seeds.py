@@ -163,3 +163,35 @@ def contaminated(
         part = rows.mapInArrow(run, SCHEMA)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], SCHEMA) if out is None else out
+
+
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_id_col: str = "item_id",
+    item_text_col: str = "text",
+    min_match: int = 12,
+    max_substituted: float = 0.2,
+    block_bytes: int = 8 << 20,
+) -> DataFrame:
+    """The rows of ``docs`` that no benchmark item overlaps with, with all their columns; nothing is shuffled."""
+    columns = docs.columns
+    order = [id_col, text_col, *(c for c in columns if c not in (id_col, text_col))]
+    out = docs.select(*order)
+    schema = out.schema
+    for ids, texts in benchmark_blocks(benchmark, item_id_col, item_text_col, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
+
+        def run(batches, shared=shared):
+            index = SeedIndex(*shared.value)
+            for chunk in chunks(batches):
+                numbered = Chunk(pa.array(range(len(chunk))), chunk.buf, chunk.off)
+                clean = np.ones(len(chunk), bool)
+                clean[[row[0] for row in find_overlaps(index, numbered, min_match, max_substituted)]] = False
+                yield chunk.rows.filter(pa.array(clean))
+
+        out = out.mapInArrow(run, schema)
+    return out.select(*columns)
