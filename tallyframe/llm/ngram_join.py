@@ -14,6 +14,9 @@ a whole: once the shorter remainder can't reach the needed overlap, the rest of
 block is skipped. Rareness comes from a bounded table of the most frequent shingles;
 it moves work, never results.
 
+Before sets are read, counts of their elements in hash buckets bound every pair's
+overlap; pairs that can't reach the threshold are gone then.
+
 *Answers from similar sets*: only leaders are intersected. If they link, their
 families are one component. By the triangle inequality of Jaccard distance no
 members can link if the leaders are further apart than the threshold plus both
@@ -34,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyframe.llm.graph import components
+from tallyframe.llm.prefilter import bit_table, with_possible
 from tallyframe.llm.store import cut
 from tallyframe.llm.text import Chunk, chunks, mix, sequence_hash, spans, word_hashes
 
@@ -77,8 +81,22 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (-(-percent * n // 100)) + 1
 
 
+def bucket_counts(s: np.ndarray) -> bytes:
+    """How many elements fall into each of about n / 4 hash buckets (255: at least so many)."""
+    bits = max(4, (len(s) // 4).bit_length())
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def overlap_bound(a: bytes, b: bytes) -> int:
+    """No intersection is larger than the sum of the smaller counts of all buckets."""
+    x, y = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (a, b))
+    x, y = (np.where(v == 255, 1 << 40, v) for v in (x, y))
+    m = min(len(x), len(y))
+    return int(np.minimum(x.reshape(m, -1).sum(1), y.reshape(m, -1).sum(1)).sum())
+
+
 def signatures(docs: DataFrame, k: int, hot_local: int = 8) -> DataFrame:
-    """kind 0: id, n, f1, f2, m0..m3 of each document; kind 1: f1 = a shingle of many documents of one task, n = how many."""
+    """kind 0: id, n, f1, f2, m0..m3, buckets of each document; kind 1: f1 = a shingle of many documents of one task, n = how many."""
 
     def run(batches):
         often: dict[int, int] = {}
@@ -91,7 +109,7 @@ def signatures(docs: DataFrame, k: int, hot_local: int = 8) -> DataFrame:
                     rows[i, 1:3] = fingerprint(s)
                     for j, seed in enumerate(_SEEDS):
                         rows[i, 3 + j] = mix(s * seed + seed).min().view(np.int64)
-            yield table(np.zeros(len(sets), np.int32), chunk.ids, rows)
+            yield table(np.zeros(len(sets), np.int32), chunk.ids, rows, [bucket_counts(x) for x in sets])
             every = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
             if len(every):
                 at = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
@@ -105,14 +123,35 @@ def signatures(docs: DataFrame, k: int, hot_local: int = 8) -> DataFrame:
             rows = np.zeros((len(kept), 3 + SIGNATURES), np.int64)
             rows[:, 0] = [c for _, c in kept]
             rows[:, 1] = np.array([h for h, _ in kept], np.uint64).view(np.int64)
-            yield table(np.ones(len(kept), np.int32), pa.nulls(len(kept), pa.int64()), rows)
+            yield table(np.ones(len(kept), np.int32), pa.nulls(len(kept), pa.int64()), rows, [None] * len(kept))
 
     names = ["n", "f1", "f2", *(f"m{j}" for j in range(SIGNATURES))]
 
-    def table(kind, ids, rows):
-        return pa.RecordBatch.from_arrays([pa.array(kind), ids, *(pa.array(np.ascontiguousarray(c)) for c in rows.T)], ["kind", "id", *names])
+    def table(kind, ids, rows, buckets):
+        columns = [pa.array(kind), ids, *(pa.array(np.ascontiguousarray(c)) for c in rows.T), pa.array(buckets, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["kind", "id", *names, "buckets"])
+
+    return docs.mapInArrow(run, "kind int, id long, " + ", ".join(f"{x} long" for x in names) + ", buckets binary")
 
-    return docs.mapInArrow(run, "kind int, id long, " + ", ".join(f"{x} long" for x in names))
+
+def possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, ra, rb) that bucket counts and sizes allow, with f1 of both sides as fa and fb.
+
+    Beyond the threshold the distance may exceed it by the radii of the two families.
+    """
+    side = lambda x: reps.select(F.col("rep").alias(x), F.col("f1").alias(f"f{x}"), F.col("n").alias(f"n{x}"), F.col("buckets").alias(f"s{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ra", "rb", "fa", "fb", "na", "nb", "sa", "sb")
+    names = ["a", "b", "ra", "rb", "fa", "fb"]
+
+    def run(batches):
+        for batch in batches:
+            ra, rb, na, nb = (batch.column(i).to_numpy() for i in (2, 3, 6, 7))
+            bound = np.array([overlap_bound(x, y) for x, y in zip(batch.column(8).to_pylist(), batch.column(9).to_pylist(), strict=True)], np.int64)
+            bound = np.minimum(bound, np.minimum(na, nb))
+            keep = 1 - bound / np.maximum(na + nb - bound, 1) <= 1 - percent / 100 + ra + rb + 1e-9
+            yield pa.RecordBatch.from_arrays(batch.columns[:6], names).filter(pa.array(keep))
+
+    return both.mapInArrow(run, "a long, b long, ra double, rb double, fa long, fb long")
 
 
 def frequent_shingles(found: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -218,18 +257,19 @@ def candidate_pairs(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(id, tokens) for the wanted (id, f1): the sorted shingles as bytes."""
-    rows = docs.join(wanted, "id").select("id", "text", "f1")
+    """(id, f1, tokens): the sorted shingles of documents that a bit table of the wanted ids lets through.
+
+    Only their sets are shuffled by the joins that follow, not all texts.
+    """
+    rows = with_possible(docs, "id", bit_table(wanted, "id")).where("__possible").select("id", "text")
 
     def run(batches):
         for chunk in chunks(batches):
-            f1 = chunk.rows.column(2).to_numpy()
             sets = list(shingle_sets(chunk, k))
-            same = np.array([len(s) > 0 and fingerprint(s)[0] == f for s, f in zip(sets, f1, strict=True)], bool)
-            ids = chunk.ids.filter(pa.array(same))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s, x in zip(sets, same, strict=True) if x], pa.binary())], ["id", "tokens"])
+            f1 = [fingerprint(s)[0] if len(s) else 0 for s in sets]
+            yield pa.RecordBatch.from_arrays([chunk.ids, pa.array(f1, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "f1", "tokens"])
 
-    return rows.mapInArrow(run, "id long, tokens binary")
+    return rows.mapInArrow(run, "id long, f1 long, tokens binary")
 
 
 def as_set(data) -> np.ndarray:
@@ -243,12 +283,12 @@ def is_in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
-def compare(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, extra: list[str], differences: bool) -> DataFrame:
-    """pairs (a, b, extra...) with na, nb and the exact overlap; with ``differences`` also b's to a: gone, more."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = sets_of(docs, ids.join(reps.select(F.col("rep").alias("id"), "f1"), "id"), k)
-    left = pairs.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-    both = left.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").select("a", "b", *extra, "ta", "tb")
+def compare(docs: DataFrame, pairs: DataFrame, k: int, extra: list[str], differences: bool) -> DataFrame:
+    """pairs (a, b, fa, fb, extra...) with na, nb and the exact overlap; with ``differences`` also b's to a: gone, more."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    sets = sets_of(docs, ids, k)
+    left = pairs.join(sets.select(F.col("id").alias("b"), F.col("f1").alias("fb"), F.col("tokens").alias("tb")), ["b", "fb"])
+    both = left.join(sets.select(F.col("id").alias("a"), F.col("f1").alias("fa"), F.col("tokens").alias("ta")), ["a", "fa"]).select("a", "b", *extra, "ta", "tb")
     kinds = dict(pairs.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("a", "b", *extra)) + ", na long, nb long, overlap long"
     schema += ", gone binary, more binary" if differences else ""
@@ -283,7 +323,7 @@ def derived_links(docs: DataFrame, near: DataFrame, members: DataFrame, reps: Da
     block = F.struct("member", "size", "gone", "more")
     blocks = members.groupBy("fam", F.floor(F.col("row") / MEMBERS_PER_BLOCK).alias("part")).agg(F.collect_list(block).alias("list"))
     ids = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
-    sets = sets_of(docs, ids.join(reps.select(F.col("rep").alias("id"), "f1"), "id"), k)
+    sets = sets_of(docs, ids, k).join(reps.select(F.col("rep").alias("id"), "f1"), ["id", "f1"]).select("id", "tokens")
     rows = near.select("a", "b")
     for side in ("a", "b"):
         rows = rows.join(sets.select(F.col("id").alias(side), F.col("tokens").alias(f"t{side}")), side)
@@ -327,7 +367,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     hot = frequent_shingles(found, frequent)
     own = found.where("kind = 0")
     key = ["n", "f1", "f2"]
-    per_set = own.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep"), *[F.first(f"m{j}").alias(f"m{j}") for j in range(SIGNATURES)])
+    per_set = own.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in (*(f"m{j}" for j in range(SIGNATURES)), "buckets")])
     reps = cut(per_set.where("rep is not null"))
 
     # families: each set is offered the smallest set that shares a signature
@@ -335,7 +375,8 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     lead = sig.groupBy("j", "m").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1").select("j", "m", "lead")
     offers = sig.join(lead, ["j", "m"]).where("lead.rep < rep").where(100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n"))
     offers = offers.groupBy(F.col("rep").alias("b")).agg(F.min("lead.rep").alias("a"))
-    joined = cut(compare(rows, cut(offers), reps, k, [], True).where(linked(percent)))
+    offers = cut(possible(offers.select("a", "b", F.lit(0.0).alias("ra"), F.lit(0.0).alias("rb")), reps, percent))
+    joined = cut(compare(rows, offers, k, [], True).where(linked(percent)))
     # a leader must not itself be a member
     members = joined.join(joined.select(F.col("b").alias("a")), "a", "left_anti")
     members = members.select(F.col("a").alias("fam"), F.col("b").alias("member"), F.col("nb").alias("size"), "na", "overlap", "gone", "more").dropDuplicates(["member"])
@@ -352,7 +393,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     spread = [radius.select(F.col("fam").alias(x), F.col("radius").alias(f"r{x}")) for x in ("a", "b")]
     pairs = cut(pairs.join(spread[0], "a", "left").join(spread[1], "b", "left").fillna(0.0, ["ra", "rb"]))
-    judged = cut(compare(rows, pairs, reps, k, ["ra", "rb"], False))
+    judged = cut(compare(rows, cut(possible(pairs, reps, percent)), k, ["ra", "rb"], False))
     distance = 1 - F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))
     near = judged.where(~linked(percent) & (F.col("ra") + F.col("rb") > 0) & (distance <= 1 - percent / 100 + F.col("ra") + F.col("rb") + 1e-9)).select("a", "b")
     edges = joined.select("a", "b").unionByName(judged.where(linked(percent)).select("a", "b"))
@@ -379,7 +420,11 @@ def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     found = cut(similar_documents(docs, id_col=id_col, text_col=text_col, k=k, percent=percent))
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col))
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    out = docs.join(kept.distinct() if repeated else kept, id_col, "left_semi")
     if repeated:
-        out = out.dropDuplicates([id_col])
-    return out.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+        out = docs.join(kept.distinct(), id_col, "left_semi").dropDuplicates([id_col])
+        return out.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+    # few rows go: those that certainly stay need no shuffle
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col))
+    marked = with_possible(docs, id_col, bit_table(gone, id_col))
+    maybe = marked.where("__possible").join(gone, id_col, "left_anti")
+    return marked.where("not __possible").unionByName(maybe).select(*docs.columns)

@@ -73,8 +73,9 @@ def test_derived_overlaps(spark):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "id long, text string")
     found = op.signatures(docs, 1).where("kind = 0")
     reps = found.selectExpr("id as rep", "f1", "n", "f2")
-    pairs = spark.createDataFrame(members, "a long, b long")
-    diffs = op.compare(docs, pairs, reps, 1, [], True)
+    f = {r.rep: r.f1 for r in reps.collect()}
+    pairs = spark.createDataFrame([(a, b, f[a], f[b]) for a, b in members], "a long, b long, fa long, fb long")
+    diffs = op.compare(docs, pairs, 1, [], True)
     listed = diffs.selectExpr("a as fam", "b as member", "nb as size", "gone", "more")
     own = spark.createDataFrame([(f, f, len(t), b"", b"") for f, t in leaders.items()], listed.schema)
     listed = listed.unionByName(own).selectExpr("*", "0 as row")
@@ -85,6 +86,18 @@ def test_derived_overlaps(spark):
     assert got == want and want
 
 
+def test_bucket_counts_bound_the_overlap():
+    rng = np.random.default_rng(6)
+    for n in (3, 40, 700, 5000):
+        x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+        y = np.unique(np.concatenate([x[: n // 2], rng.integers(0, 2**63, n // 3, dtype=np.uint64) * np.uint64(2)]))
+        low = np.unique(np.concatenate([x, np.arange(3 * n, dtype=np.uint64)]))
+        for a, b in ((x, y), (x, low), (y, low), (x, x)):
+            bound = op.overlap_bound(op.bucket_counts(a), op.bucket_counts(b))
+            assert bound >= len(np.intersect1d(a, b))
+        assert op.overlap_bound(op.bucket_counts(x), op.bucket_counts(x)) == len(x)
+
+
 def test_rare_shingles_come_first():
     s = np.sort(np.array([10, 20, 2**63 + 5], np.uint64))
     keys = op.sort_keys(s, (np.array([10], np.uint64), np.array([7], np.uint64)))
