@@ -80,7 +80,7 @@ def duplicate_texts(spark, sf_dir):
 
 @query(f"""
 WITH l AS ({STATUS_SQL})
-SELECT order_status, disposition, count(*) AS n, sum(line_count) AS lines, CAST(grouping(order_status, disposition) AS INTEGER) AS level FROM l GROUP BY GROUPING SETS ((order_status, disposition), (order_status), ())
+SELECT order_status, disposition, count(*) AS n, CAST(sum(line_count) AS BIGINT) AS lines, CAST(grouping(order_status, disposition) AS INTEGER) AS level FROM l GROUP BY GROUPING SETS ((order_status, disposition), (order_status), ())
 """)
 def grouping_sets_overview(spark, sf_dir):
     """Ledger counts by status and disposition with subtotals."""

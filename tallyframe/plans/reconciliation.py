@@ -209,7 +209,7 @@ def positional_pairing(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("g"), "c_custkey", "c_acctbal")
     o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("g"), "o_orderkey", "o_totalprice")
     paired = matching.positional(c, o, "g", [F.desc("c_acctbal"), "c_custkey"], [F.desc("o_totalprice"), "o_orderkey"])
-    return paired.where("s is not null").groupBy(F.col("ordinal")).agg(F.count("s").alias("sources"), F.count("t").alias("targets"))
+    return paired.where("s is not null").groupBy(F.col("ordinal").cast("long").alias("ordinal")).agg(F.count("s").alias("sources"), F.count("t").alias("targets"))
 
 
 @query()

@@ -11,7 +11,7 @@ from tallyframe.plans.registry import query, table
 
 
 @query("""
-SELECT p_partkey, CAST(CAST(p_retailprice AS DECIMAL(18,2)) / 1000 AS DECIMAL(18,6)) AS milli, CAST(round(CAST(p_retailprice AS DECIMAL(18,2)) * 0.001, 1) AS DECIMAL(18,1)) AS shown,
+SELECT p_partkey, CAST(CAST(p_retailprice AS DECIMAL(18,2)) / 1000 AS DOUBLE) AS milli, CAST(round(CAST(p_retailprice AS DECIMAL(18,2)) * 0.001, 1) AS DOUBLE) AS shown,
   CASE WHEN p_size % 5 = 0 THEN 'manual' WHEN CAST(round(CAST(p_retailprice AS DECIMAL(18,2)) * 0.001, 1) AS DECIMAL(18,1)) = 1.2 THEN 'match' ELSE 'mismatch' END AS decision FROM part
 """)
 def unit_normalise_compare(spark, sf_dir):
@@ -19,7 +19,7 @@ def unit_normalise_compare(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").cast("decimal(18,2)").alias("v"), F.when(F.col("p_size") % 5 == 0, "V").otherwise("µA").alias("unit"))
     milli = numbers.convert(F.col("v"), F.lit("uA"), F.lit("mA"))
     compared = let(numbers.parse_constraint(F.lit("1.2 mA")), lambda c: numbers.compare_with(c, F.col("v"), F.col("unit")))
-    return part.select("p_partkey", milli.cast("decimal(18,6)").alias("milli"), F.round(milli, 1).cast("decimal(18,1)").alias("shown"), compared["decision"].alias("decision"))
+    return part.select("p_partkey", milli.cast("double").alias("milli"), F.round(milli, 1).cast("double").alias("shown"), compared["decision"].alias("decision"))
 
 
 SHAPE = "CASE p_partkey % 6 WHEN 0 THEN '<' || p_size || ' mA' WHEN 1 THEN '[' || p_size || ', ' || (p_size + 10) || ']mA' WHEN 2 THEN p_size || '~' || (p_size + 10) || 'mA' WHEN 3 THEN '≥' || p_size || '%' WHEN 4 THEN p_size || '.50 mA' ELSE 'see ' || p_size END"
@@ -39,14 +39,14 @@ def constraint_parse(spark, sf_dir):
 
 
 @query("""
-SELECT l_discount AS discount, CAST(CASE WHEN l_tax > 0.06 THEN 1 ELSE 2 END AS INTEGER) AS n_values, CAST(round(l_tax * 100) AS DECIMAL(10,2)) AS final, count(*) AS n FROM lineitem GROUP BY 1, 2, 3
+SELECT l_discount AS discount, CAST(CASE WHEN l_tax > 0.06 THEN 1 ELSE 2 END AS INTEGER) AS n_values, round(l_tax * 100) AS final, count(*) AS n FROM lineitem GROUP BY 1, 2, 3
 """)
 def percent_extract(spark, sf_dir):
     """Percentages in rendered text: a range keeps both ends, a correction only the last."""
     a, b = (F.round(F.col(c) * 100).cast("int").cast("string") for c in ("l_discount", "l_tax"))
     shown = F.when(F.col("l_tax") > 0.06, F.concat(a, F.lit("% 改为 "), b, F.lit("%"))).otherwise(F.concat(a, F.lit("~"), b, F.lit("％")))
     got = numbers.percentages(shown)
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_discount").alias("discount"), F.size(got).alias("n_values"), F.element_at(got, -1).cast("decimal(10,2)").alias("final"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_discount").alias("discount"), F.size(got).alias("n_values"), F.element_at(got, -1).cast("double").alias("final"))
     return rows.groupBy("discount", "n_values", "final").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -74,7 +74,7 @@ def date_format_class(spark, sf_dir):
 
 
 @query("""
-SELECT event_type, count(k) AS n, sum(k) AS total, min(k) AS low, max(k) AS high FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1
+SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS total, min(k) AS low, max(k) AS high FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1
 """)
 def json_props(spark, sf_dir):
     """Statistics of a JSON property."""

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-FINDING = "id string, status string, details string"
-RUN = T.StructType.fromDDL(
-    f"schema_version string, mode string, sample string, findings array<struct<{FINDING.replace(' string', ': string')}>>, "
+RUN = (
+    "schema_version string, mode string, sample string, findings array<struct<id: string, status: string, details: string>>, "
     "ledger array<struct<entry_id: string, disposition: string, source_row_id: string, target_row_id: string, reason_code: string>>, "
     "coverage struct<source_rows: struct<eligible: long, accounted: long, conserved: boolean>, report_rows: struct<eligible: long, accounted: long, conserved: boolean>>, _corrupt_record string"
 )
