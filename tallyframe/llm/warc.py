@@ -32,6 +32,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.llm.prefilter import bit_table, with_possible
+from tallyframe.llm.store import cut
+
 CELLS = 4096
 DATE = "2024-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL namespace of RFC 4122
@@ -141,8 +144,12 @@ def write_archives(pages: DataFrame, uri: str, *, id_col: str = "page_id", url_c
     if borders:
         marks = F.array(*[F.lit(b).cast("long") for b in borders])
         shard = F.size(F.filter(marks, lambda b: b <= F.coalesce(F.col("page_id"), F.lit(-(2**63))))).cast("long")
-    first = rows.groupBy("sha1", "n").agg(F.min("page_id").alias("first"))
-    rows = rows.join(first, ["sha1", "n"]).withColumn("shard", shard)
+    # only payloads that may occur twice are shuffled to learn the smallest id that has them
+    first = cut(rows.groupBy("sha1", "n").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
+    marked = with_possible(rows, "sha1", bit_table(first, "sha1"))
+    single = marked.where("not __possible").withColumn("first", F.col("page_id"))
+    several = marked.where("__possible").join(first, ["sha1", "n"], "left").withColumn("first", F.coalesce("first", "page_id"))
+    rows = single.unionByName(several).withColumn("shard", shard)
     rows = rows.repartitionByRange(len(borders) + 1, "shard").sortWithinPartitions("shard", "page_id", "sha1", "n", "url")
     rows = rows.select("shard", "page_id", "url", "payload", "sha1", "first")
 
