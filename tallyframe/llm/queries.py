@@ -76,4 +76,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (op1_ngram_join, op2_quality, op3_mixing, op4_tokens, op5_decontamination, op6_sharding, op7_warc, op8_suffix_dedup, op9_lm_scoring, op10_toxicity)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": raking.oracle_sql()}

@@ -81,8 +81,9 @@ def mix_sources(
     dims: list[Column] | None = None,
     power: float = 0.95,
     sweeps: int = 6,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """All rows and columns of ``docs`` with __0, __1, __2 (cell), __n (tokens), __f (factor), __p (probability), __keep.
+    """All rows and columns of ``docs`` (or just those to ``carry``) with __0, __1, __2 (cell), __n (tokens), __f (target over present share), __p (probability), __keep.
 
     Null source, language or topic is the value 'unknown'. Documents without
     words have no tokens to weigh: they get the probability 1 if their cell has no
@@ -92,13 +93,40 @@ def mix_sources(
     dims = dims or [F.col("source"), F.col("lang"), topic_of(F.col(text_col))]
     keys = [f"__{i}" for i in range(len(dims))]
     rows = token_cells(docs, text_col, dims)
+    if carry is not None:  # a narrow table: the texts are read once
+        rows = cut(rows.select(*carry, *keys, "__n"))
     cells = rows.groupBy(*keys).agg(F.sum("__n").alias("tokens"))
     raked = rake(cut(cells), keys, power, sweeps)
     factor = F.col("w") / F.nullif(F.col("tokens"), F.lit(0)).cast("double")
-    raked = raked.select(*keys, factor.alias("__f"))
-    top = raked.agg(F.max("__f").alias("__top"))
+    raked = raked.select(*keys, "tokens", factor.alias("__f"))
+    top = raked.agg(F.max("__f").alias("__top"), F.sum("tokens").alias("__every"))
     # written, so that the join below knows its size
-    raked = cut(raked.join(F.broadcast(top)).select(*keys, (F.col("__f") / F.col("__top")).alias("__r"), "__f"))
+    raked = cut(raked.join(F.broadcast(top)).select(*keys, (F.col("__f") / F.col("__top")).alias("__r"), (F.col("__f") * F.col("__every")).alias("__f")))
     out = rows.join(raked, keys)
     p = F.coalesce(F.least(F.col("__r"), F.lit(1.0)), F.lit(1.0))
     return out.withColumn("__p", p).withColumn("__keep", F.coalesce(unit_hash(F.col(id_col)), F.lit(0.0)) < F.round("__p", 9))
+
+
+def oracle_sql(power: float = 0.95, sweeps: int = 6) -> str:
+    """The same result in DuckDB SQL: one step per sweep and marginal."""
+    topic = """CASE WHEN text IS NULL OR length(text) = 0 THEN 'empty'
+      WHEN (length(text) - length(translate(text, '#*$%&|<>', ''))) * 20 > length(text) THEN 'symbols'
+      WHEN (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) * 3 > length(text) THEN 'shouting'
+      WHEN length(text) < 600 THEN 'short' WHEN length(text) < 4000 THEN 'article' ELSE 'long' END"""
+    steps = [
+        f"""WITH d AS (SELECT doc_id, coalesce(source, 'unknown') AS k0, coalesce(lang, 'unknown') AS k1, {topic} AS k2,
+          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents)""",
+        "c AS (SELECT k0, k1, k2, CAST(sum(n) AS BIGINT) AS tokens FROM d GROUP BY 1, 2, 3)",
+    ]
+    for i in range(3):
+        steps.append(f"m{i} AS (SELECT k{i}, pow(sum(tokens), {power}) AS p FROM c GROUP BY 1)")
+        steps.append(f"t{i} AS (SELECT k{i}, p / nullif((SELECT sum(p) FROM m{i}), 0) AS t{i} FROM m{i})")
+    steps.append("w0 AS (SELECT c.*, t0, t1, t2, CAST(tokens AS DOUBLE) AS w FROM c JOIN t0 USING (k0) JOIN t1 USING (k1) JOIN t2 USING (k2))")
+    for step in range(3 * sweeps):
+        i = step % 3
+        steps.append(f"w{step + 1} AS MATERIALIZED (SELECT k0, k1, k2, tokens, t0, t1, t2, coalesce(w * t{i} / nullif(sum(w) OVER (PARTITION BY k{i}), 0), 0) AS w FROM w{step})")
+    steps.append(f"f AS (SELECT k0, k1, k2, w / nullif(tokens, 0) AS f FROM w{3 * sweeps})")
+    steps.append("""r AS (SELECT doc_id, k0 AS source, k1 AS lang, k2 AS topic, n AS n_tokens, f, coalesce(least(f / (SELECT max(f) FROM f), 1), 1) AS p FROM d JOIN f USING (k0, k1, k2))
+    SELECT doc_id, source, lang, topic, n_tokens, round(f * (SELECT sum(tokens) FROM c), 6) AS factor, round(p, 6) AS probability,
+      coalesce(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0, 0) < round(p, 9) AS kept FROM r""")
+    return ",\n".join(steps)
