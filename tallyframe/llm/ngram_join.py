@@ -116,7 +116,7 @@ def signatures(docs: DataFrame, k: int, hot_local: int = 8) -> DataFrame:
                 n = np.diff(np.append(at, len(every)))
                 for h, c in zip(every[at[n > 2]].tolist(), n[n > 2].tolist(), strict=True):
                     often[h] = often.get(h, 0) + c
-                if len(often) > 500_000:
+                if len(often) > 200_000:
                     often = {h: c for h, c in often.items() if c >= hot_local}
         kept = [(h, c) for h, c in often.items() if c >= hot_local]
         if kept:

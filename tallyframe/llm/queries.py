@@ -13,6 +13,7 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    store.bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = str(8 << 20)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; on a local master a temporary one if it is unset."""
@@ -23,6 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     return set_dir
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches by bytes, not only by rows: 10,000 rows of long texts or sets are hundreds of MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared one."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -30,6 +37,7 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, computed once, written to the shared folder as a table and read back."""
+    bound_batches(df.sparkSession)
     path = work_dir(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
