@@ -26,7 +26,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = raking.mix_sources(table(spark, sf_dir, "documents"))
+    out = raking.mix_sources(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select(
         "doc_id",
         F.col("__0").alias("source"),
