@@ -3,15 +3,16 @@
 Counts of words and word pairs of all training documents are gathered as sorted
 key blobs (one shuffle; each task sends its own counts, combined). A count c is
 quantised to q = 1 + floor(log_b c), and the pairs (n-gram, 1) .. (n-gram, q) enter a
-Bloom filter, which is broadcast. The count of an n-gram is found by probing 1, 2, ...
-until the first miss; the model interpolates the pair's and the word's estimates:
+Bloom filter. The count of an n-gram is found by probing 1, 2, ... until the first miss; the model interpolates the pair's and the word's estimates:
 
     P(w | u) = share * c(u w) / c(u) + (1 - share) * (c(w) + 0.5) / (N + 0.5 (V + 1))
 
-and P(w | u) is the word's part alone where u or the pair isn't in the filter. Pairs
-seen once aren't stored. The filter has ``bits_per_item`` bits for each item and at
-most ``filter_bytes``; a corpus with more items raises the lowest stored count of the
-*filter* until it fits. All counts still come from all training documents.
+and P(w | u) is the word's part alone where u or the pair isn't in the filter. The
+filter has ``bits_per_item`` bits for each item and one part for each bucket of keys,
+so it grows with the corpus and holds every count. Up to ``filter_bytes`` it is
+broadcast. Beyond, the texts become units of word numbers, the distinct keys of each
+unit are sent to the parts of the filter and their levels are sent back; the bits that
+are probed, and so the scores, are the same either way.
 
 The base score needs exact counts. Words at or above a count that leaves at most
 ``table_words`` of them are broadcast; the remaining occurrences of each document are
@@ -37,6 +38,8 @@ PROBES = 5
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 FLUSH_KEYS = 3_000_000
+UNIT_TOKENS = 500_000
+PROBE_KEYS = 500_000
 PAIR_BYTES = 5
 
 
@@ -49,10 +52,15 @@ def tokens(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     out = np.empty(len(words) + n, np.uint64)
     out[off[1:] - 1] = END
     out[np.arange(len(words)) + np.repeat(np.arange(n), np.diff(woff))] = words
-    before = np.empty_like(out)
-    before[1:] = out[:-1]
+    return out, preceding(out, off), off
+
+
+def preceding(words: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """What stands before each word or end."""
+    before = np.empty_like(words)
+    before[1:] = words[:-1]
     before[off[:-1]] = BEGIN
-    return out, before, off
+    return before
 
 
 def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -142,8 +150,7 @@ def count_blobs(train: DataFrame, bits: int) -> DataFrame:
             if not parts:
                 continue
             keys, counts = combine(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-            edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.int64)
-            edges = [0, *edges.tolist(), len(keys)]
+            edges = cut_at(keys, bits).tolist()
             rows = []
             for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
                 if j > i:
@@ -244,6 +251,82 @@ class LogFilter:
         return out
 
 
+def cut_at(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where each bucket of the sorted keys begins, and the end of the last."""
+    edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.int64)
+    return np.concatenate([[0], edges, [len(keys)]]).astype(np.int64)
+
+
+def binaries(data: bytes, ends: np.ndarray) -> pa.Array:
+    """A binary column whose value i is ``data[ends[i]:ends[i + 1]]``."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data)])
+
+
+def text_units(rows: DataFrame) -> DataFrame:
+    """The texts in units of about ``UNIT_TOKENS`` tokens: ids, ends of the documents, distinct words in order and the number of each word."""
+
+    def run(batches):
+        held, size = [], 0
+        for chunk in chunks(batches):
+            word, _, off = tokens(chunk)
+            held.append((chunk.ids, word, np.diff(off)))
+            size += len(word)
+            if size >= UNIT_TOKENS:
+                yield unit(held)
+                held, size = [], 0
+        if held:
+            yield unit(held)
+
+    def unit(held):
+        words, at = np.unique(np.concatenate([h[1] for h in held]), return_inverse=True)
+        ids = pa.concat_arrays([h[0] for h in held])
+        off = np.concatenate([[0], np.cumsum(np.concatenate([h[2] for h in held]))]).astype(np.int64)
+        columns = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([x.tobytes()], pa.binary()) for x in (off, words, at.astype(np.int32)))]
+        return pa.RecordBatch.from_arrays(columns, ["ids", "off", "words", "at"])
+
+    units = rows.select("doc_id", "text").mapInArrow(run, "ids array<long>, off binary, words binary, at binary")
+    return cut(units.withColumn("unit", F.monotonically_increasing_id()))
+
+
+def read_unit(off: pa.Scalar, words: pa.Scalar, at: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, what stands before each, document offsets and distinct words of a unit."""
+    off, words, at = (np.frombuffer(x.as_buffer(), kind) for x, kind in ((off, np.int64), (words, np.uint64), (at, np.int32)))
+    word = words[at]
+    return word, preceding(word, off), off, words
+
+
+def unit_levels(units: DataFrame, parts: DataFrame, bits: int) -> DataFrame:
+    """(unit, kind, bucket, levels) of the distinct words and pairs of each unit, probed where the bucket's part of the filter is."""
+
+    def ask(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                word, before, _, words = read_unit(*(batch.column(c)[i] for c in (1, 2, 3)))
+                for kind, keys in ((1, words), (2, np.unique(pair_hash(before, word)))):
+                    width = 8 if kind == 1 else PAIR_BYTES
+                    ends = cut_at(keys, bits)
+                    used = np.flatnonzero(np.diff(ends))
+                    data = pack_keys(keys if kind == 1 else short_pair(keys, bits), width)
+                    columns = [np.full(len(used), batch.column(0)[i].as_py(), np.int64), np.full(len(used), kind, np.int32), used.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), binaries(data, np.append(ends[:-1][used], len(keys)) * width)], ["unit", "kind", "bucket", "keys"])
+
+    def answer(asked: pa.Table, part: pa.Table) -> pa.Table:
+        if asked.num_rows:
+            width = 8 if asked["kind"][0].as_py() == 1 else PAIR_BYTES
+            stored = LogFilter({(1, 0): part["data"][0].as_py()} if part.num_rows else {}, 0, 1)
+            sent = [k.as_buffer() for k in asked["keys"]]
+            keys = unpack_keys(b"".join(sent), width)
+            found = [stored.level(1, keys[i : i + PROBE_KEYS]).astype(np.uint8) for i in range(0, len(keys), PROBE_KEYS)]
+            levels = binaries(np.concatenate(found).tobytes(), np.concatenate([[0], np.cumsum([k.size // width for k in sent])]))
+        else:
+            levels = pa.array([], pa.binary())
+        return pa.table([asked["unit"], asked["kind"], asked["bucket"], levels], names=["unit", "kind", "bucket", "levels"])
+
+    asked = units.select("unit", "off", "words", "at").mapInArrow(ask, "unit long, kind int, bucket int, keys binary")
+    key = ["kind", "bucket"]
+    return asked.groupBy(*key).cogroup(parts.groupBy(*key)).applyInArrow(answer, "unit long, kind int, bucket int, levels binary")
+
+
 def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
@@ -254,7 +337,7 @@ def score_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     share: float = 0.1,
-    pair_least: int = 2,
+    pair_least: int = 1,
     bits_per_item: int = 10,
     filter_bytes: int = 128 << 20,
     table_words: int = 4_000_000,
@@ -278,9 +361,7 @@ def score_documents(
     total, distinct = sum(r.total for r in facts if r.kind == 1), sum(r.n for r in facts if r.kind == 1)
     levels = np.sum([r.levels for r in facts], 0) if facts else np.zeros(LEVELS, np.int64)
     reached = levels[::-1].cumsum()[::-1]  # keys that have at least this level
-    first = 1
-    while first < LEVELS - 1 and int(reached[first:].sum()) * bits_per_item > 8 * filter_bytes:
-        first += 1
+    whole = int(reached[1:].sum()) * bits_per_item <= 8 * filter_bytes
 
     def build(batches):
         for batch in batches:
@@ -288,11 +369,11 @@ def score_documents(
             for kind, n, keys, counts in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), batch.column(4), strict=True):
                 k = unpack_keys(keys.as_buffer(), 8 if kind == 1 else PAIR_BYTES)
                 c = unpack_counts(counts.as_buffer(), len(k))
-                data.append(LogFilter.build(k, quantise(c) if len(c) else np.zeros(0, np.int64), first, bits_per_item))
+                data.append(LogFilter.build(k, quantise(c) if len(c) else np.zeros(0, np.int64), 1, bits_per_item))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], ["kind", "bucket", "data"])
 
     parts = merged.select("kind", "bucket", "n", "keys", "counts").mapInArrow(build, "kind int, bucket int, data binary")
-    parts = {(r.kind, r.bucket): bytes(r.data) for r in parts.toLocalIterator()}
+    stored = LogFilter({(r.kind, r.bucket): bytes(r.data) for r in parts.toLocalIterator()}, bits, 1) if whole else None
 
     # the exact counts that are broadcast: all words from `least` on, at most table_words of them
     words = merged.where("kind = 1").select("n", "keys", "counts")
@@ -321,47 +402,62 @@ def score_documents(
     keys = np.concatenate([t[0] for t in table]) if table else np.zeros(0, np.uint64)
     counts = np.concatenate([t[1] for t in table]) if table else np.zeros(0, np.int64)
     order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((parts, keys[order], np.minimum(counts[order], 2**63 - 1)))
-    del table, keys, counts, order, parts
+    shared = spark.sparkContext.broadcast((stored, keys[order], np.minimum(counts[order], 2**63 - 1)))
+    del table, keys, counts, order, stored
     rest = total + 0.5 * (distinct + 1)
 
+    def estimate(ids: pa.Array, word: np.ndarray, before: np.ndarray, off: np.ndarray, level_of) -> pa.RecordBatch:
+        _, known, count = shared.value
+        distinct_words, at = np.unique(word, return_inverse=True)
+        level = level_of(1, distinct_words)
+        single = (VALUES[level] + 0.5) / rest
+        place = np.minimum(np.searchsorted(known, distinct_words), max(len(known) - 1, 0))
+        hit = known[place] == distinct_words if len(known) else np.zeros(len(distinct_words), bool)
+        exact = np.where(hit, count[place], 0) if len(known) else np.zeros(len(distinct_words), np.int64)
+        cold = ~hit & (not complete)
+        logs = np.where(cold, 0.0, np.log10((exact + 0.5) / rest))
+
+        distinct_before, before_at = np.unique(before, return_inverse=True)
+        # a document's begin is as frequent as its end
+        context = VALUES[level_of(1, np.where(distinct_before == BEGIN, END, distinct_before))][before_at]
+        pairs, pair_at = np.unique(pair_hash(before, word), return_inverse=True)
+        pair = VALUES[level_of(2, pairs)][pair_at]
+        p = single[at]
+        both = (context > 0) & (pair > 0)
+        p = np.where(both, share * np.minimum(pair / np.maximum(context, 1), 1) + (1 - share) * p, p)
+        total_of = lambda v: np.diff(np.concatenate([[0], np.cumsum(v)])[off])
+        is_cold = cold[at]
+        cold_words = word[is_cold].view(np.int64)
+        cold_off = np.concatenate([[0], np.cumsum(is_cold)])[off].astype(np.int32)
+        columns = [
+            ids,
+            pa.array(np.diff(off).astype(np.int64)),
+            pa.array(total_of(exact[at] > 0).astype(np.int64)),
+            pa.array(np.add.reduceat(logs[at], off[:-1])),
+            pa.array(np.add.reduceat(np.log10(p), off[:-1])),
+            pa.ListArray.from_arrays(pa.array(cold_off), pa.array(cold_words)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base_score", "score", "cold"])
+
     def run(batches):
-        parts, known, count = shared.value
-        stored = LogFilter(parts, bits, first)
         for chunk in chunks(batches):
-            word, before, off = tokens(chunk)
-            distinct_words, at = np.unique(word, return_inverse=True)
-            level = stored.level(1, distinct_words)
-            single = (VALUES[level] + 0.5) / rest
-            place = np.minimum(np.searchsorted(known, distinct_words), max(len(known) - 1, 0))
-            hit = known[place] == distinct_words if len(known) else np.zeros(len(distinct_words), bool)
-            exact = np.where(hit, count[place], 0) if len(known) else np.zeros(len(distinct_words), np.int64)
-            cold = ~hit & (not complete)
-            logs = np.where(cold, 0.0, np.log10((exact + 0.5) / rest))
-
-            distinct_before, before_at = np.unique(before, return_inverse=True)
-            # a document's begin is as frequent as its end
-            context = VALUES[stored.level(1, np.where(distinct_before == BEGIN, END, distinct_before))][before_at]
-            pairs, pair_at = np.unique(pair_hash(before, word), return_inverse=True)
-            pair = VALUES[stored.level(2, pairs)][pair_at]
-            p = single[at]
-            both = (context > 0) & (pair > 0)
-            p = np.where(both, share * np.minimum(pair / np.maximum(context, 1), 1) + (1 - share) * p, p)
-            total_of = lambda v: np.diff(np.concatenate([[0], np.cumsum(v)])[off])
-            is_cold = cold[at]
-            cold_words = word[is_cold].view(np.int64)
-            cold_off = np.concatenate([[0], np.cumsum(is_cold)])[off].astype(np.int32)
-            columns = [
-                chunk.ids,
-                pa.array(np.diff(off).astype(np.int64)),
-                pa.array(total_of(exact[at] > 0).astype(np.int64)),
-                pa.array(np.add.reduceat(logs[at], off[:-1])),
-                pa.array(np.add.reduceat(np.log10(p), off[:-1])),
-                pa.ListArray.from_arrays(pa.array(cold_off), pa.array(cold_words)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base_score", "score", "cold"])
-
-    scored = rows.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double, cold array<long>")
+            yield estimate(chunk.ids, *tokens(chunk), shared.value[0].level)
+
+    def run_unit(unit: pa.Table, found: pa.Table) -> pa.Table:
+        word, before, off, words = read_unit(*(unit[c][0] for c in ("off", "words", "at")))
+        keys = {1: words, 2: np.unique(pair_hash(before, word))}
+        found = found.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+        levels = np.frombuffer(b"".join(x.as_buffer() for x in found["levels"]), np.uint8)
+        levels = {1: levels[: len(words)], 2: levels[len(words) :]}
+        ids = unit["ids"].combine_chunks().flatten()
+        return pa.Table.from_batches([estimate(ids, word, before, off, lambda kind, k: levels[kind][np.searchsorted(keys[kind], k)])])
+
+    columns = "doc_id long, n_tokens long, n_known long, base_score double, score double, cold array<long>"
+    if whole:
+        scored = rows.mapInArrow(run, columns)
+    else:
+        units = text_units(rows)
+        scored = units.groupBy("unit").cogroup(unit_levels(units, parts, bits).groupBy("unit")).applyInArrow(run_unit, columns)
     if not complete:
         scored = cut(scored.withColumn("row", F.monotonically_increasing_id()))
         few = words.mapInArrow(listed(False), "hash long, c long")

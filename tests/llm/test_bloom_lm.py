@@ -60,3 +60,34 @@ def test_a_small_filter_and_an_empty_table(spark):
     small = op.score_documents(frame(spark, rows), filter_bytes=64).collect()
     assert len(small) == len(rows)
     assert op.score_documents(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("filter_bytes", [128 << 20, 64])
+def test_scores_use_every_count_whatever_the_filter_needs(spark, filter_bytes):
+    rows = documents()
+    fold = {i: i + 32 for i in range(65, 91)}
+    texts = [["<s>", *re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(fold)), "</s>"] for _, t in rows]
+    train = [x for x, (d, _) in zip(texts, rows, strict=True) if d is None or zlib.crc32(str(d).encode()) % 5 != 1]
+    words = collections.Counter(w for x in train for w in x[1:])
+    words["<s>"] = words["</s>"]
+    pairs = collections.Counter(p for x in train for p in zip(x, x[1:], strict=False))
+    n = sum(len(x) - 1 for x in train)
+    value = lambda c: op.VALUES[op.quantise(np.array([c]))[0]] if c else 0.0
+
+    def p(u, w):
+        single = (value(words[w]) + 0.5) / (n + 0.5 * len(words))
+        return 0.1 * min(value(pairs[u, w]) / value(words[u]), 1) + 0.9 * single if pairs[u, w] else single
+
+    want = [(str(d), len(x) - 1, sum(math.log10(p(u, w)) for u, w in zip(x, x[1:], strict=False))) for x, (d, _) in zip(texts, rows, strict=True)]
+    got = op.score_documents(frame(spark, rows), filter_bytes=filter_bytes, bits_per_item=64, bucket_bytes=1 << 12).collect()
+    for a, b in zip(sorted((str(r.doc_id), r.n_tokens, r.score) for r in got), sorted(want), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-6)
+
+
+def test_a_filter_beyond_the_broadcast_bound_scores_alike(spark, monkeypatch):
+    monkeypatch.setattr(op, "UNIT_TOKENS", 2000)
+    df = frame(spark, documents(n=200))
+    key = lambda r: (str(r.doc_id), r.n_tokens, r.base_score)
+    one, other = (sorted(op.score_documents(df, filter_bytes=n, table_words=50, bucket_bytes=1 << 12).collect(), key=key) for n in (128 << 20, 64))
+    for a, b in zip(one, other, strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=1e-6)
