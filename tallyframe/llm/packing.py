@@ -13,9 +13,11 @@ holds at most 2**12 + 52 * 2**11 classes, whatever the input. Rows find their
 shard by the rank of their group in its class; ranks come from counts per
 (class, salt) and a row number within, so no task sees a whole hot class.
 
-A group that is larger than a shard can't stay whole in equal shards. Groups
-over ``1 / split_above`` of the mean shard are dealt into sub-groups by a hash
-of the row id; there are at most ``shards * split_above`` such groups.
+Only a group that is larger than a shard (the capacity, or the mean of all shards)
+is cut, into as few parts as hold it; its rows are dealt to the parts by their rank,
+so that no part is over the bound unless a single row is. Groups over
+``1 / split_above`` of a shard may have many rows: their shards are broadcast to the
+rows instead of joined by a shuffle; there are at most ``shards * split_above``.
 """
 
 from __future__ import annotations
@@ -152,11 +154,15 @@ def shard_documents(
     mean = capacity or max(1, total // shards)
     # at most total / (mean / split_above) groups are over the bound
     large = groups.where(F.col("size") * F.col("__rows") * split_above > mean).where(F.col("__rows") > 1)
-    large = large.select(*group, F.least(F.lit(16 * split_above), F.ceil(F.col("size") * F.col("__rows") * split_above / F.lit(mean))).alias("__parts"))
-    rows = rows.join(F.broadcast(large), group, "left").withColumn(
-        "__part", F.when(F.col("__parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("__parts")).cast("int"))
-    ).drop("__parts")
-    group = [*group, "__part"]
+    each = F.greatest(F.lit(1), F.floor(F.lit(mean) / F.col("size")))  # rows of the group that one shard holds
+    large = large.select(*group, F.ceil(F.col("__rows") / each).alias("__parts"))
+    rows = rows.join(F.broadcast(large), group, "left").withColumn("__large", F.col("__parts").isNotNull())
+    beyond = F.coalesce(F.col("__parts") > 1, F.lit(False))
+    dealt = ranked(rows.where(beyond), group, ["doc_id"], F.pmod(F.xxhash64("doc_id"), F.lit(salts)), "__at")
+    dealt = dealt.withColumn("__part", F.pmod("__at", "__parts")).drop("__at")
+    rows = rows.where(~beyond).withColumn("__part", F.lit(0).cast("long")).unionByName(dealt).drop("__parts")
+    rows = cut(rows)
+    group = [*group, "__part", "__large"]
     groups = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__rows")).withColumn("__w", F.col("size") * F.col("__rows"))
     groups = groups.withColumn("__class", size_class(F.col("__w")))
     groups = cut(groups)
@@ -166,6 +172,8 @@ def shard_documents(
     groups = ranked(groups, ["__class"], group, F.pmod(F.col("__a"), F.lit(salts)), "__rank")
     # a class has at most as many runs as there are bins; the table is bounded by classes + bins
     groups = groups.join(F.broadcast(runs), "__class").where((F.col("__rank") >= F.col("__first")) & (F.col("__rank") < F.col("__end")))
-    out = rows.join(groups.select(*group, F.col("__bin").cast("int").alias("shard")), group)
+    groups = cut(groups.select(*group, F.col("__bin").cast("int").alias("shard")))
+    out = rows.where(~F.col("__large")).join(groups.where(~F.col("__large")), group)
+    out = out.unionByName(rows.where("__large").join(F.broadcast(groups.where("__large")), group))
     out = out.select("doc_id", "size", "text_crc32", "shard")
     return ranked(out, ["shard"], ["doc_id", "size", "text_crc32"], F.pmod(F.xxhash64("doc_id"), F.lit(salts)), "slot")

@@ -73,5 +73,33 @@ def test_fixed_capacity_opens_as_few_as_best_fit(spark):
     assert len(load) == len(best_fit([len(t) + 1 for _, t in rows], 400))
 
 
+def test_groups_up_to_a_shard_stay_whole_in_a_skewed_table(spark):
+    copies = {"a" * 99: 70, "b" * 49: 100, "c" * 199: 20, "d" * 99: 30, "e" * 9: 90}  # 7000, 5000, 4000, 3000, 900 bytes
+    rows = [(i, text) for i, text in enumerate(t for t, n in copies.items() for _ in range(n))]
+    rows += [(1000 + i, f"{i:0{20 + i % 60}d}") for i in range(300)]
+    shards = 4
+    mean = sum(len(t) + 1 for _, t in rows) // shards
+    assert 7000 < mean
+    got = op.shard_documents(frame(spark, rows), shards).collect()
+    found, load = defaultdict(set), Counter()
+    for r in got:
+        found[r.text_crc32].add(r.shard)
+        load[r.shard] += r.size
+    assert len(got) == len(rows) and all(len(s) == 1 for s in found.values())
+    assert max(load.values()) <= 1.02 * mean
+
+
+def test_only_groups_beyond_the_capacity_are_cut_and_into_few_parts(spark):
+    rows = [(i, "x" * 9) for i in range(1000)] + [(2000 + i, "y" * 49) for i in range(8)] + [(3000 + i, f"{i:029d}") for i in range(50)]
+    got = op.shard_documents(frame(spark, rows), capacity=400).collect()
+    load, found = Counter(), defaultdict(set)
+    for r in got:
+        load[r.shard] += r.size
+        found[r.text_crc32].add(r.shard)
+    assert len(got) == len(rows) and max(load.values()) <= 400
+    assert len(found[zlib.crc32(b"x" * 9)]) == 25
+    assert all(len(s) == 1 for c, s in found.items() if c != zlib.crc32(b"x" * 9))
+
+
 def test_empty_table(spark):
     assert op.shard_documents(empty(spark)).count() == 0
