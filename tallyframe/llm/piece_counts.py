@@ -1,8 +1,11 @@
 """Token counts by a linear longest-match automaton over a word-piece vocabulary.
 
 Words are split greedily: the longest vocabulary piece at the start (of the pieces
-that begin a word), then the longest continuing piece, and so on; a word that
-can't be covered is one unknown token. The trie of the vocabulary gets failure
+that begin a word), then the longest continuing piece, and so on. Where no piece
+begins a word but the bare word start is a piece, that is the first piece and the word
+goes on with continuing pieces; a character without a piece falls back to the pieces
+of its bytes, if the vocabulary has them. A word that still can't be covered is one
+unknown token. The trie of the vocabulary gets failure
 links: f(v) is where matching goes on after the longest pieces of v's string have
 been popped, and the number of popped pieces is precomputed, so a word's length in
 pieces is found in one pass over its bytes, without building a piece.
@@ -30,11 +33,12 @@ CACHE_WORDS = 400_000
 class Automaton:
     """Trie over bytes with failure links and popped-piece counts.
 
-    ``begin`` pieces start a word and ``inside`` pieces continue one. Node 0 is the
-    root of ``begin``, node 1 that of ``inside``; fail is -1 where nothing can be popped.
+    ``begin`` pieces start a word and ``inside`` pieces continue one; with ``bare``, the
+    word start alone is a piece too. Node 0 is the root of ``begin``, node 1 that of
+    ``inside``; fail is -1 where nothing can be popped.
     """
 
-    def __init__(self, begin: list[bytes], inside: list[bytes]):
+    def __init__(self, begin: list[bytes], inside: list[bytes], bare: bool = False):
         self.next: list[dict[int, int]] = [{}, {}]
         final = [False, False]
         for root, pieces in ((0, begin), (1, inside)):
@@ -52,6 +56,8 @@ class Automaton:
                     final[node] = True
         self.fail = [-1] * len(self.next)
         self.popped = [0] * len(self.next)
+        if bare:
+            self.fail[0], self.popped[0] = 1, 1
         queue = deque([0, 1])
         while queue:
             node = queue.popleft()
@@ -88,7 +94,7 @@ class Automaton:
 
 
 def load_pieces(path: str) -> tuple[list[bytes], list[bytes]]:
-    """Word-starting and continuing pieces of a sentencepiece model file."""
+    """Word-starting and continuing pieces of a sentencepiece model file, without byte pieces."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -101,12 +107,22 @@ def load_pieces(path: str) -> tuple[list[bytes], list[bytes]]:
     return begin, inside
 
 
-def count_tokens(docs: DataFrame, vocabulary: tuple[list[bytes], list[bytes]], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def load_vocabulary(path: str) -> tuple[list[bytes], list[bytes], bool]:
+    """All pieces of the file for an automaton: byte pieces (``<0xE2>``) continue a word; whether the bare word start is a piece."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    begin, inside = load_pieces(path)
+    single = [bytes([int(model.id_to_piece(i)[3:-1], 16)]) for i in range(model.get_piece_size()) if model.is_byte(i)]
+    return begin, inside + single, b"" in begin
+
+
+def count_tokens(docs: DataFrame, vocabulary: tuple, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, n_tokens (pieces; an uncoverable word is 1) and n_unknown (such words).
 
     Null and empty texts have no words and no tokens. Null ids and repeated rows are
-    rows like others. An empty table gives no rows. The vocabulary is what the
-    driver loaded from a file of fixed size; it is broadcast once.
+    rows like others. An empty table gives no rows. The vocabulary (the arguments of
+    ``Automaton``) is what the driver loaded from a file of fixed size; it is broadcast once.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 

@@ -40,7 +40,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_tokens(spark: SparkSession, sf_dir: str, pieces: str = PIECES) -> DataFrame:
-    return piece_counts.count_tokens(table(spark, sf_dir, "documents"), piece_counts.load_pieces(pieces))
+    return piece_counts.count_tokens(table(spark, sf_dir, "documents"), piece_counts.load_vocabulary(pieces))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
