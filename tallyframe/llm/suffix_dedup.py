@@ -314,7 +314,11 @@ def sorted_spans(found: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def counted_spans(found: DataFrame, length: int, gram: int) -> DataFrame:
-    """The same ranges for very large groups: windows are counted by a 128-bit hash."""
+    """The same ranges for very large groups: windows are counted by a 128-bit hash.
+
+    A window may hold the gram of its anchor several times. It counts at the first of
+    them only, hence once for each place; equal windows have theirs at the same offset.
+    """
 
     def run(batches):
         for batch in batches:
@@ -324,10 +328,17 @@ def counted_spans(found: DataFrame, length: int, gram: int) -> DataFrame:
                 around = part.column(5).to_pylist()
                 buf = np.frombuffer(b"".join(around), np.uint8)
                 off = np.concatenate([[0], np.cumsum([len(x) for x in around])])
-                n = np.maximum(np.minimum(before + 1, np.diff(off) - length + 1), 0)
-                row = np.repeat(np.arange(len(n)), n)
-                at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                 prefix = prefix_hash(buf, False)
+                ends = np.minimum(np.arange(len(buf)) + gram, len(buf))
+                grams = range_hash(prefix, np.arange(len(buf)), ends)
+                own = np.repeat(np.arange(len(around)), np.diff(off))
+                place = np.arange(len(buf)) - off[own]
+                same = np.flatnonzero((place < before[own]) & (grams == grams[off[:-1] + before][own]))
+                low = np.zeros(len(around), np.int64)
+                np.maximum.at(low, own[same], place[same] + 1)  # windows from here on don't hold an earlier one
+                n = np.maximum(np.minimum(before + 1, np.diff(off) - length + 1) - low, 0)
+                row = np.repeat(np.arange(len(n)), n)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + low[row]
                 h1 = range_hash(prefix, off[row] + at, off[row] + at + length)
                 folded = np.zeros(len(buf) + 1, np.uint64)
                 base = 0xA0761D6478BD642F

@@ -39,6 +39,27 @@ def test_agrees_with_all_windows(spark, rows, length, gram, hot):
     assert sorted(map(tuple, got), key=str) == brute(rows, length)
 
 
+def runs_of_one_character():
+    rng = random.Random(4)
+    own = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    rows = [(i, own(40) + "-" * n + own(40)) for i, n in enumerate((9, 12, 15, 18, 19, 20, 21, 30, 60))]
+    rows += [(20 + i, own(30) + "a line of its own\n" * i + own(30)) for i in range(1, 5)]
+    return [*rows, (40, own(25) + "-" * 14 + own(25) + "-" * 14 + own(25)), (41, own(50))]
+
+
+@pytest.mark.parametrize("hot", [10**6, 1])
+def test_windows_that_hold_a_gram_twice_count_once(spark, hot):
+    rows = runs_of_one_character()
+    got = op.remove_repeats(frame(spark, rows), length=20, gram=8, hot_rows=hot).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 20)
+
+
+@pytest.mark.parametrize(("rows", "length", "gram"), [(documents(9), 30, 12), (periodic(), 20, 8)])
+def test_counting_everything_agrees_with_all_windows(spark, rows, length, gram):
+    got = op.remove_repeats(frame(spark, rows), length=length, gram=gram, hot_rows=1).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, length)
+
+
 def test_kept_text_on_demand(spark):
     part = "0123456789" * 3
     docs = frame(spark, [(1, "left " + part), (2, part + " right")])
