@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +27,65 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+GRAM = 5
+KEPT_CHARACTERS = 4_000_000
+
+
+def counted(text: str) -> tuple:
+    """The distinct letters of a text and their counts, and those of its grams (hashed: a collision can only let a pair pass)."""
+    t = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = max(len(t) - GRAM + 1, 0)
+    h = np.zeros(n, np.uint64)
+    for i in range(GRAM):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + t[i : i + n]
+    return np.unique(t, return_counts=True), np.unique(h, return_counts=True)
+
+
+def common(x: tuple, y: tuple) -> int:
+    """Values in common, counted as often as they are in both."""
+    (k, n), (m, c) = (x, y) if len(x[0]) < len(y[0]) else (y, x)
+    if not len(k):
+        return 0
+    at = np.minimum(np.searchsorted(m, k), len(m) - 1)
+    return int(np.where(m[at] == k, np.minimum(n, c[at]), 0).sum())
+
+
+def may_reach(a: str, b: str, least: float, known: dict | None = None) -> bool:
+    """False only where the matching-block ratio is certainly below ``least``: by lengths, by letters, by shared grams.
+
+    Blocks of M characters in all, of T in both texts, leave T - 2M characters without a
+    partner. M is at most the letters in common, and each character without a partner
+    breaks at most GRAM grams of its own text and GRAM - 1 of the other one. ``known``
+    keeps the counts of texts.
+    """
+    total = len(a) + len(b)
+    need = least * total / 2
+    if min(len(a), len(b)) < need:
+        return False
+    known = {} if known is None else known
+    for t in (a, b):
+        if t not in known:
+            known[t] = counted(t)
+    (x, g), (y, h) = known[a], known[b]
+    return common(x, y) >= need and common(g, h) >= (2 * GRAM - 1) * need - (GRAM - 1) * (total + 1)
+
+
+def ratio_from(least: float):
+    """``ratio`` where it can be ``least`` or more, else null."""
+
+    @F.pandas_udf(T.DoubleType())
+    def bounded(a: pd.Series, b: pd.Series) -> pd.Series:
+        out, known, size = [], {}, 0
+        for x, y in zip(a, b, strict=True):
+            size += (x not in known) * len(x) + (y not in known) * len(y)
+            if size > KEPT_CHARACTERS:
+                known, size = {}, len(x) + len(y)
+            out.append(ratio_of(x, y) if may_reach(x, y, least, known) else None)
+        return pd.Series(out, dtype="float64")
+
+    return bounded
+
+
 def segments_of(a: str, b: str) -> list[dict]:
     """Changed token runs between two texts."""
     x, y = TOKEN.findall(a), TOKEN.findall(b)

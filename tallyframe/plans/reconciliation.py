@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tallyframe.functions import clauses, textdiff
@@ -215,13 +217,34 @@ def positional_pairing(spark, sf_dir):
 @query()
 def text_ratio_pairs(spark, sf_dir):
     """Texts with the same heading that are nearly the same by matching-block ratio."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.split_part("text", F.lit("\n"), F.lit(1)).alias("heading"))
-    firsts = docs.groupBy("heading").agg(F.min_by("text", "doc_id").alias("first"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = docs.join(firsts, "heading").where("doc_id <> first_id")
-    # a ratio can't be higher than the lengths allow
-    possible = pairs.where(2 * F.least(F.length("text"), F.length("first")) >= 0.94 * (F.length("text") + F.length("first")))
-    scored = possible.select("first_id", "doc_id", F.round(textdiff.ratio(F.col("first"), F.col("text")), 4).alias("ratio"))
-    return scored.where("ratio >= 0.94")
+    return near_texts(table(spark, sf_dir, "documents").select("doc_id", "text", F.split_part("text", F.lit("\n"), F.lit(1)).alias("heading")), 0.94)
+
+
+def near_texts(docs, least):
+    """(first_id, doc_id, ratio) of doc_id, text, heading: all pairs of distinct texts under a heading, and each copy with the first of its text.
+
+    A text stands for its copies by its smallest id, so that a copy's pairs are those of its
+    first. The ratio takes the text with the smaller id first; it counts rounded to 4 places.
+    """
+    bound = least - 0.0001
+    # classes and headings by digests, so that only the texts to compare are shuffled more than once
+    docs = docs.where("text is not null").select("doc_id", "text", F.md5("heading").alias("h"), F.md5("text").alias("m"))
+    classes = docs.groupBy("h", "m").agg(F.min("doc_id").alias("doc_id"), F.collect_list("doc_id").alias("ids"))
+    copies = classes.where("size(ids) > 1").select(F.col("doc_id").alias("first_id"), F.explode("ids").alias("doc_id"), F.lit(1.0).alias("ratio")).where("doc_id <> first_id")
+    several = classes.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    wanted = classes.join(several, "h").select("h", "m", "doc_id")
+    texts = docs.select("doc_id", "m", "text").join(wanted, ["doc_id", "m"]).dropDuplicates(["doc_id", "m"])
+    texts = texts.select("h", "text", F.col("doc_id").alias("id"), F.length("text").alias("n"))
+    # a ratio can't be higher than the lengths allow: partners are in one band or in the next
+    widest = 2 / bound - 1
+    texts = texts.withColumn("band", F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(widest * 1.001)))
+    short = texts.select("h", "band", *(F.col(c).alias(f"s_{c}") for c in ("text", "id", "n")))
+    long = texts.withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
+    pairs = short.join(long, ["h", "band"]).where("s_n < n or (s_n = n and s_id < id)").where(2 * F.col("s_n") >= bound * (F.col("n") + F.col("s_n")))
+    swap = lambda x, y: F.when(F.col("s_id") < F.col("id"), F.col(x)).otherwise(F.col(y))
+    pairs = pairs.select(F.least("id", "s_id").alias("first_id"), F.greatest("id", "s_id").alias("doc_id"), swap("s_text", "text").alias("a"), swap("text", "s_text").alias("b"))
+    scored = pairs.select("first_id", "doc_id", F.round(textdiff.ratio_from(bound)(F.col("a"), F.col("b")), 4).alias("ratio"))
+    return scored.where(F.col("ratio") >= least).unionByName(copies)
 
 
 @query("""
