@@ -14,14 +14,16 @@ a whole: once the shorter remainder can't reach the needed overlap, the rest of
 block is skipped. Rareness comes from a bounded table of the most frequent shingles;
 it moves work, never results.
 
-Before sets are read, counts of their elements in hash buckets bound every pair's
-overlap; pairs that can't reach the threshold are gone then.
+Counts of elements in hash buckets travel with the lists and bound every pair's
+overlap; pairs that can't reach the threshold are not sent on. A list of many sets
+is dealt into cells, each a task's work of its own.
 
-*Answers from similar sets*: only leaders are intersected. If they link, their
-families are one component. By the triangle inequality of Jaccard distance no
-members can link if the leaders are further apart than the threshold plus both
-radii. In between, a member's overlaps are derived from the leaders' intersection
-and the members' differences, with no set read again.
+*Answers from similar sets*: only leaders are intersected. By the triangle inequality
+of Jaccard distance no members can link if the leaders are further apart than the
+threshold plus both radii. Otherwise, and inside a family, the members' overlaps are
+derived from the leaders' intersection and the members' differences, with no set read
+again, a block of members against another at once. What comes out is the number of
+links of each member and whether two families touch, never the pairs.
 
 Components come from the verified links (``graph.components``).
 """
@@ -29,21 +31,25 @@ Components come from the verified links (``graph.components``).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tallyframe.llm.graph import components
-from tallyframe.llm.prefilter import bit_table, with_possible
+from tallyframe.llm.prefilter import bit_table, fresh, with_possible
 from tallyframe.llm.store import cut
 from tallyframe.llm.text import Chunk, chunks, mix, sequence_hash, spans, word_hashes
 
 SIGNATURES = 4
 _SEEDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 MEMBERS_PER_BLOCK = 256
+CELL = 8192
+COLUMNS = 8192
 
 
 def shingle_sets(chunk: Chunk, k: int) -> Iterator[np.ndarray]:
@@ -87,14 +93,6 @@ def bucket_counts(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
-def overlap_bound(a: bytes, b: bytes) -> int:
-    """No intersection is larger than the sum of the smaller counts of all buckets."""
-    x, y = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (a, b))
-    x, y = (np.where(v == 255, 1 << 40, v) for v in (x, y))
-    m = min(len(x), len(y))
-    return int(np.minimum(x.reshape(m, -1).sum(1), y.reshape(m, -1).sum(1)).sum())
-
-
 def signatures(docs: DataFrame, k: int, hot_local: int = 8) -> DataFrame:
     """kind 0: id, n, f1, f2, m0..m3, buckets of each document; kind 1: f1 = a shingle of many documents of one task, n = how many."""
 
@@ -134,24 +132,41 @@ def signatures(docs: DataFrame, k: int, hot_local: int = 8) -> DataFrame:
     return docs.mapInArrow(run, "kind int, id long, " + ", ".join(f"{x} long" for x in names) + ", buckets binary")
 
 
-def possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, ra, rb) that bucket counts and sizes allow, with f1 of both sides as fa and fb.
+def may_link(left: list[bytes], right: list[bytes], sizes: np.ndarray, slack: np.ndarray, percent: int) -> np.ndarray:
+    """For each pair of bucket counts: can the sets be within the threshold plus ``slack`` of Jaccard distance?
 
-    Beyond the threshold the distance may exceed it by the radii of the two families.
+    ``sizes`` has a row for each pair. No intersection is larger than the sum of the
+    smaller counts of all buckets, the finer of the two folded to the coarser.
     """
+    n = len(left)
+    lengths = np.array([(len(x), len(y)) for x, y in zip(left, right, strict=True)], np.int64).reshape(n, 2)
+    bound = np.zeros(n, np.int64)
+    for shape in np.unique(lengths, axis=0):
+        rows = np.flatnonzero((lengths == shape).all(1))
+        m, step = int(shape.min()), max(1, (4 << 20) // int(shape.max()))
+        for start in range(0, len(rows), step):
+            part = rows[start : start + step]
+            folded = []
+            for side in (left, right):
+                v = np.frombuffer(b"".join(side[i] for i in part.tolist()), np.uint8).reshape(len(part), m, -1).astype(np.int32)
+                folded.append(np.where(v == 255, 1 << 24, v).sum(2))
+            bound[part] = np.minimum(*folded).sum(1)
+    bound = np.minimum(bound, sizes.min(1))
+    return 1 - bound / np.maximum(sizes.sum(1) - bound, 1) <= 1 - percent / 100 + slack + 1e-9
+
+
+def possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that bucket counts and sizes allow, with f1 of both sides as fa and fb."""
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("f1").alias(f"f{x}"), F.col("n").alias(f"n{x}"), F.col("buckets").alias(f"s{x}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ra", "rb", "fa", "fb", "na", "nb", "sa", "sb")
-    names = ["a", "b", "ra", "rb", "fa", "fb"]
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "fa", "fb", "na", "nb", "sa", "sb")
 
     def run(batches):
         for batch in batches:
-            ra, rb, na, nb = (batch.column(i).to_numpy() for i in (2, 3, 6, 7))
-            bound = np.array([overlap_bound(x, y) for x, y in zip(batch.column(8).to_pylist(), batch.column(9).to_pylist(), strict=True)], np.int64)
-            bound = np.minimum(bound, np.minimum(na, nb))
-            keep = 1 - bound / np.maximum(na + nb - bound, 1) <= 1 - percent / 100 + ra + rb + 1e-9
-            yield pa.RecordBatch.from_arrays(batch.columns[:6], names).filter(pa.array(keep))
+            sizes = np.stack([batch.column(i).to_numpy() for i in (4, 5)], 1)
+            keep = may_link(batch.column(6).to_pylist(), batch.column(7).to_pylist(), sizes, np.zeros(batch.num_rows), percent)
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], ["a", "b", "fa", "fb"]).filter(pa.array(keep))
 
-    return both.mapInArrow(run, "a long, b long, ra double, rb double, fa long, fb long")
+    return both.mapInArrow(run, "a long, b long, fa long, fb long")
 
 
 def frequent_shingles(found: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -197,71 +212,97 @@ def index_rows(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.
     return docs.select("id", "text").mapInArrow(run, "token long, f1 long, n int, rest int")
 
 
+def split_long_lists(lists: DataFrame) -> DataFrame:
+    """``lists`` (token, length, f1, ...) with ``list`` in place of token: a list of over CELL sets becomes cells.
+
+    Its sets are dealt into groups; each pair of groups is a list of its own, so that
+    no task holds a frequent token's list and every pair of sets still meets.
+    """
+    groups = F.ceil(F.col("length") / CELL).cast("int")
+    own = F.pmod(F.xxhash64("f1"), groups).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), groups - 1), lambda g: F.xxhash64("token", F.least(own, g), F.greatest(own, g)))
+    return lists.withColumn("list", F.explode(F.when(groups > 1, cells).otherwise(F.array("token")))).drop("token", "length")
+
+
 def candidate_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b), a < b, of families whose blocks in some list can reach the needed overlap.
+    """Distinct (a, b, ra, rb, fa, fb), a < b, of families whose blocks in some list can reach the needed overlap.
 
-    ``lists`` has (token, fam, n, rest) and comes in the order of token, n, falling rest.
+    ``lists`` has (list, fam, n, rest, f1, size, radius, buckets), the latter four of the
+    family's leader, and comes in the order of list, n, falling rest. A pair whose
+    leaders' bucket counts rule a link out, radii included, isn't sent on.
     """
 
     def run(batches):
-        held = None
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], 1)
-            rows = rows if held is None else np.concatenate([held, rows])
-            last = int(np.searchsorted(rows[:, 0], rows[-1, 0], "left")) if len(rows) else 0
-            held, done = rows[last:], rows[:last]
-            yield from pairs_of(done)
-        if held is not None:
-            yield from pairs_of(held)
+            if not batch.num_rows:
+                continue
+            if held and held[-1].column(0)[-1].as_py() == batch.column(0)[-1].as_py():
+                held.append(batch)  # the list goes on
+                continue
+            rows = pa.Table.from_batches([*held, batch])
+            tokens = rows.column(0).to_numpy()
+            last = int(np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))[-1])
+            yield from pairs_of(rows.slice(0, last))
+            held = rows.slice(last).to_batches()
+        if held:
+            yield from pairs_of(pa.Table.from_batches(held))
 
     def pairs_of(rows):
-        if not len(rows):
+        if rows.num_rows < 2:
             return
-        edge = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0], [True]]))
+        token, fam, n, rest, f1, size, radius = (rows.column(i).to_numpy() for i in range(7))
+        n, rest = n.astype(np.int64), rest.astype(np.int64)
+        signature = rows.column(7).to_pylist()
+        edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
         length = np.diff(edge)
         two = edge[:-1][length == 2]  # most lists: one pair each
-        a, b = rows[two], rows[two + 1]
-        need = needed_overlap(a[:, 2] + b[:, 2], percent)
-        good = (1 + np.minimum(a[:, 3], b[:, 3]) >= need) & (100 * np.minimum(a[:, 2], b[:, 2]) >= percent * np.maximum(a[:, 2], b[:, 2]))
-        out, held = [(a[good, 1], b[good, 1])], int(good.sum())
+        good = 1 + np.minimum(rest[two], rest[two + 1]) >= needed_overlap(n[two] + n[two + 1], percent)
+        good &= 100 * np.minimum(n[two], n[two + 1]) >= percent * np.maximum(n[two], n[two + 1])
+        found, held = [(two[good], two[good] + 1)], int(good.sum())
         for start in np.flatnonzero(length > 2).tolist():
-            part = rows[edge[start] : edge[start + 1]]
-            cut_at = np.flatnonzero(np.concatenate([[True], part[1:, 2] != part[:-1, 2], [True]]))
-            blocks = [(int(part[i, 2]), part[i:j, 1], -part[i:j, 3]) for i, j in zip(cut_at[:-1].tolist(), cut_at[1:].tolist(), strict=True)]
-            for i, (n, own, rest) in enumerate(blocks):
-                for m, other, more in blocks[i:]:
-                    if 100 * n < percent * m:
+            at, stop = int(edge[start]), int(edge[start + 1])
+            cut_at = at + np.flatnonzero(np.concatenate([[True], n[at + 1 : stop] != n[at : stop - 1], [True]]))
+            blocks = list(zip(cut_at[:-1].tolist(), cut_at[1:].tolist(), strict=True))
+            for i, (a, b) in enumerate(blocks):
+                for c, d in blocks[i:]:
+                    if 100 * n[a] < percent * n[c]:
                         break
-                    need = needed_overlap(n + m, percent)
                     # each block is ordered by position: beyond these entries none can reach the overlap
-                    x, y = np.searchsorted(rest, 1 - need, "right"), np.searchsorted(more, 1 - need, "right")
-                    for at in range(0, int(x), 1024):
-                        left = own[at : min(x, at + 1024)]
-                        out.append((np.repeat(left, y), np.tile(other[:y], len(left))))
-                        held += len(left) * int(y)
-                        if held > 500_000:
-                            yield from emit(out)
-                            out, held = [], 0
-        yield from emit(out)
-
-    def emit(out):
-        if not out:
+                    need = needed_overlap(int(n[a] + n[c]), percent)
+                    x, y = a + np.searchsorted(-rest[a:b], 1 - need, "right"), c + np.searchsorted(-rest[c:d], 1 - need, "right")
+                    for low in range(a, int(x), 64):
+                        left = np.arange(low, min(x, low + 64))
+                        found.append((np.repeat(left, y - c), np.tile(np.arange(c, y), len(left))))
+                        held += len(found[-1][0])
+                        if held > 200_000:
+                            yield from emit(found, fam, f1, size, radius, signature)
+                            found, held = [], 0
+        yield from emit(found, fam, f1, size, radius, signature)
+
+    def emit(found, fam, f1, size, radius, signature):
+        i, j = (np.concatenate([p[side] for p in found]) if found else np.zeros(0, np.int64) for side in (0, 1))
+        swap = fam[i] > fam[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        if not len(i):
             return
-        a, b = (np.concatenate([p[i] for p in out]) for i in (0, 1))
-        pairs = np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b]
-        if len(pairs):
-            pairs = np.unique(pairs, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+        _, first = np.unique(np.stack([fam[i], fam[j]], 1), axis=0, return_index=True)
+        first = first[fam[i[first]] != fam[j[first]]]
+        i, j = i[first], j[first]
+        keep = may_link([signature[x] for x in i.tolist()], [signature[x] for x in j.tolist()], np.stack([size[i], size[j]], 1), radius[i] + radius[j], percent)
+        i, j = i[keep], j[keep]
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (fam[i], fam[j], radius[i], radius[j], f1[i], f1[j])], ["a", "b", "ra", "rb", "fa", "fb"])
 
-    return lists.mapInArrow(run, "a long, b long").distinct()
+    return lists.mapInArrow(run, "a long, b long, ra double, rb double, fa long, fb long").distinct()
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(id, f1, tokens): the sorted shingles of documents that a bit table of the wanted ids lets through.
+    """(id, f1, tokens), once each: the sorted shingles of documents that a bit table of the wanted ids lets through.
 
     Only their sets are shuffled by the joins that follow, not all texts.
     """
-    rows = with_possible(docs, "id", bit_table(wanted, "id")).where("__possible").select("id", "text")
+    rows = with_possible(docs.select("id", "text"), "id", bit_table(wanted, "id"), "wanted").where("wanted").select("id", "text")
 
     def run(batches):
         for chunk in chunks(batches):
@@ -269,7 +310,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             f1 = [fingerprint(s)[0] if len(s) else 0 for s in sets]
             yield pa.RecordBatch.from_arrays([chunk.ids, pa.array(f1, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "f1", "tokens"])
 
-    return rows.mapInArrow(run, "id long, f1 long, tokens binary")
+    return rows.mapInArrow(run, "id long, f1 long, tokens binary").groupBy("id", "f1").agg(F.first("tokens").alias("tokens"))
 
 
 def as_set(data) -> np.ndarray:
@@ -315,59 +356,121 @@ def linked(percent: int):
     return 100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))
 
 
-def derived_links(docs: DataFrame, near: DataFrame, members: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between members of families whose leaders don't link, from the leaders' sets and the members' differences.
+@dataclass
+class Block:
+    """Members of a family: ids, set sizes, copies, and their differences to the leader as signed elements."""
+
+    ids: np.ndarray
+    size: np.ndarray
+    copies: np.ndarray
+    owner: np.ndarray
+    token: np.ndarray
+    sign: np.ndarray
+
+    @classmethod
+    def of(cls, members: list[dict]) -> Block:
+        parts = [(i, np.frombuffer(m[c], np.uint64), s) for i, m in enumerate(members) for c, s in (("gone", -1), ("more", 1))]
+        owner = np.concatenate([np.full(len(v), i) for i, v, _ in parts])
+        sign = np.concatenate([np.full(len(v), s, np.float32) for _, v, s in parts])
+        return cls(*(np.array([m[c] for m in members], np.int64) for c in ("member", "size", "copies")), owner, np.concatenate([v for _, v, _ in parts]), sign)
+
+    def within(self, leader: np.ndarray) -> np.ndarray:
+        """What each member has more of a sorted set than its own leader has."""
+        return np.bincount(self.owner, self.sign * is_in(self.token, leader), len(self.ids)).astype(np.int64)
+
+    def columns(self, tokens: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(self.ids), len(tokens)), np.float32)
+        mine = is_in(self.token, tokens)
+        out[self.owner[mine], np.searchsorted(tokens, self.token[mine])] = self.sign[mine]
+        return out
+
 
-    Members come in blocks of at most MEMBERS_PER_BLOCK; each row has one block of either side.
+def derived_overlaps(p: Block, q: Block, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """All overlaps of two blocks' members, whose leaders are x and y, with no member's set read.
+
+    With d the signed difference of a member to its leader, |p & q| = |x & y| + d_p on y + d_q on x + d_p * d_q.
+    """
+    out = int(is_in(x, y).sum()) + p.within(y)[:, None] + q.within(x)[None, :]
+    both = np.intersect1d(p.token, q.token)
+    for start in range(0, len(both), COLUMNS):
+        part = both[start : start + COLUMNS]
+        out += np.rint(p.columns(part) @ q.columns(part).T).astype(np.int64)
+    return out
+
+
+def derived_links(docs: DataFrame, pairs: DataFrame, members: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between the members of pairs of families (a, b; a = b: inside one).
+
+    Rows (a, b, null): some members of a and b link. Rows (a, null, n): the set of id a
+    links with n documents. ``members`` (fam, member, size, copies, gone, more; leaders
+    included) come in blocks of about MEMBERS_PER_BLOCK; a row has one block of either side.
     """
-    block = F.struct("member", "size", "gone", "more")
-    blocks = members.groupBy("fam", F.floor(F.col("row") / MEMBERS_PER_BLOCK).alias("part")).agg(F.collect_list(block).alias("list"))
-    ids = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
+    parts = members.groupBy("fam").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_PER_BLOCK).cast("int").alias("parts"))
+    placed = members.join(parts, "fam").withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int"))
+    blocks = cut(placed.groupBy("fam", "part").agg(F.collect_list(F.struct("member", "size", "copies", "gone", "more")).alias("list")))
+    have = blocks.select("fam", "part")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     sets = sets_of(docs, ids, k).join(reps.select(F.col("rep").alias("id"), "f1"), ["id", "f1"]).select("id", "tokens")
-    rows = near.select("a", "b")
+    rows = pairs.select("a", "b").join(have.select(F.col("fam").alias("a"), F.col("part").alias("i")), "a")
+    rows = rows.join(have.select(F.col("fam").alias("b"), F.col("part").alias("j")), "b").where("a <> b or i <= j")
+    for side, part in (("a", "i"), ("b", "j")):
+        rows = rows.join(blocks.select(F.col("fam").alias(side), F.col("part").alias(part), F.col("list").alias(f"l{side}")), [side, part])
     for side in ("a", "b"):
         rows = rows.join(sets.select(F.col("id").alias(side), F.col("tokens").alias(f"t{side}")), side)
-        rows = rows.join(blocks.select(F.col("fam").alias(side), F.col("list").alias(f"l{side}")), side)
-    rows = rows.select("ta", "tb", "la", "lb")
+    rows = rows.select("a", "b", "i", "j", "ta", "tb", "la", "lb")
 
     def run(batches):
         for batch in batches:
-            out = []
-            for i in range(batch.num_rows):
-                x, y = as_set(batch.column(0)[i]), as_set(batch.column(1)[i])
-                base = int(is_in(x, y).sum())
-                own, other = ([(m["member"], m["size"], *(np.frombuffer(m[c], np.uint64) for c in ("gone", "more"))) for m in batch.column(c)[i].as_py()] for c in (2, 3))
-                # overlaps of y's side members with x, and what each has of x's side differences
-                for p, n, gone, more in own:
-                    with_leader = base - int(is_in(gone, y).sum()) + int(is_in(more, y).sum())
-                    for q, m, lost, won in other:
-                        if 100 * min(n, m) < percent * max(n, m):
-                            continue
-                        # |p & q| = |p & y| - |p & lost| + |p & won|, membership in p by x, gone and more
-                        in_p = lambda v, gone=gone, more=more: int(((is_in(v, x) & ~is_in(v, gone)) | is_in(v, more)).sum())
-                        overlap = with_leader - in_p(lost) + in_p(won)
-                        if 100 * overlap >= percent * (n + m - overlap):
-                            out.append((p, q))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([q for _, q in out], pa.int64())], ["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long")
-
-
-def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, frequent: int = 1 << 17) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, and class_id (smallest id with an equal set).
-
-    Documents without words have an empty set and are linked with nothing. Rows
-    with a null id are kept; they take part in the class of their set, and
-    component_id is null only if no id is known in it. Repeated rows are kept and
-    are equal. Other columns are ignored. An empty table gives no rows.
+            count: dict[int, int] = {}
+            joined = []
+            for r in range(batch.num_rows):
+                a, b, i, j = (batch.column(c)[r].as_py() for c in range(4))
+                p, q = (Block.of(batch.column(c)[r].as_py()) for c in (6, 7))
+                x, y = (as_set(batch.column(c)[r]) for c in (4, 5))
+                overlap = derived_overlaps(p, q, x, y)
+                link = 100 * overlap >= percent * (p.size[:, None] + q.size[None, :] - overlap)
+                if a == b:
+                    link &= p.ids[:, None] != q.ids[None, :]
+                elif link.any():
+                    joined.append((a, b))
+                sides = [(p, link @ q.copies)] if (a, i) == (b, j) else [(p, link @ q.copies), (q, link.T @ p.copies)]
+                for block, n in sides:
+                    for at in np.flatnonzero(n).tolist():
+                        count[int(block.ids[at])] = count.get(int(block.ids[at]), 0) + int(n[at])
+            joined = sorted(set(joined))
+            a = [x for x, _ in joined] + list(count)
+            b = [y for _, y in joined] + [None] * len(count)
+            n = [None] * len(joined) + list(count.values())
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, n)], ["a", "b", "n"])
+
+    return rows.mapInArrow(run, "a long, b long, n long")
+
+
+def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, frequent: int = 1 << 17, count_links: bool = True) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, class_id (smallest id with an equal set), n_links.
+
+    n_links counts the other rows whose sets link, rows with an equal set included (0
+    for sets that only rows without an id have, which aren't compared); it is null unless ``count_links``, which also spares the links that join no components.
+
+    Null or empty texts, and those without words, have an empty set and are linked with
+    nothing. Texts of any length are taken whole. Rows with a null id are kept; they take
+    part in the class of their set, and component_id is null only if no id is known in
+    it. Repeated rows are kept and are equal; ties go to the smallest id. Other columns
+    are ignored, whatever their names. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    classes = _classes(rows, k, percent, frequent, count_links)
+    return classes.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("class_id", "id").alias("class_id"), "n_links")
+
+
+def _classes(rows: DataFrame, k: int, percent: int, frequent: int, count_links: bool) -> DataFrame:
+    """(id, n, f1, f2, class_id, component_id, n_links) for every row (id, text)."""
     found = cut(signatures(rows, k))
     hot = frequent_shingles(found, frequent)
     own = found.where("kind = 0")
     key = ["n", "f1", "f2"]
-    per_set = own.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in (*(f"m{j}" for j in range(SIGNATURES)), "buckets")])
+    per_set = own.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in (*(f"m{j}" for j in range(SIGNATURES)), "buckets")])
     reps = cut(per_set.where("rep is not null"))
 
     # families: each set is offered the smallest set that shares a signature
@@ -375,56 +478,96 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     lead = sig.groupBy("j", "m").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1").select("j", "m", "lead")
     offers = sig.join(lead, ["j", "m"]).where("lead.rep < rep").where(100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n"))
     offers = offers.groupBy(F.col("rep").alias("b")).agg(F.min("lead.rep").alias("a"))
-    offers = cut(possible(offers.select("a", "b", F.lit(0.0).alias("ra"), F.lit(0.0).alias("rb")), reps, percent))
+    offers = cut(possible(offers.select("a", "b"), reps, percent))
     joined = cut(compare(rows, offers, k, [], True).where(linked(percent)))
     # a leader must not itself be a member
-    members = joined.join(joined.select(F.col("b").alias("a")), "a", "left_anti")
+    members = joined.join(joined.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
     members = members.select(F.col("a").alias("fam"), F.col("b").alias("member"), F.col("nb").alias("size"), "na", "overlap", "gone", "more").dropDuplicates(["member"])
-    radius = members.groupBy("fam").agg(F.max(1 - F.col("overlap") / (F.col("na") + F.col("size") - F.col("overlap"))).alias("radius"))
+    members = cut(members.join(reps.select(F.col("rep").alias("member"), "copies"), "member"))
+    radius = F.max(1 - F.col("overlap") / (F.col("na") + F.col("size") - F.col("overlap")))
+    families = members.groupBy("fam").agg(radius.alias("radius"), F.count(F.lit(1)).alias("c"))
 
     # index lists of at least two sets, then of families
     lists = index_rows(rows, k, percent, hot).groupBy("token", "f1", "n").agg(F.max("rest").alias("rest"))
-    lists = lists.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("c > 1").drop("c")
+    lists = lists.withColumn("length", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("length > 1")
     of = reps.select("f1", "n", "rep").join(members.select(F.col("member").alias("rep"), "fam"), "rep", "left").select("f1", "n", F.coalesce("fam", "rep").alias("fam"))
-    lists = lists.join(of, ["f1", "n"]).groupBy("token", "fam", "n").agg(F.max("rest").alias("rest"))
-    lists = lists.repartition("token").sortWithinPartitions("token", "n", F.desc("rest"), "fam").select("token", "fam", "n", "rest")
-    pairs = candidate_pairs(lists, percent)
-    pairs = pairs.join(joined.select("a", "b"), ["a", "b"], "left_anti")
-
-    spread = [radius.select(F.col("fam").alias(x), F.col("radius").alias(f"r{x}")) for x in ("a", "b")]
-    pairs = cut(pairs.join(spread[0], "a", "left").join(spread[1], "b", "left").fillna(0.0, ["ra", "rb"]))
-    judged = cut(compare(rows, cut(possible(pairs, reps, percent)), k, ["ra", "rb"], False))
+    lists = split_long_lists(lists).join(of, ["f1", "n"]).groupBy("list", "fam", "n").agg(F.max("rest").alias("rest"))
+    leaders = reps.select(F.col("rep").alias("fam"), "f1", F.col("n").alias("size"), "buckets").join(families.select("fam", "radius"), "fam", "left").fillna(0.0, ["radius"])
+    lists = lists.join(leaders, "fam").repartition("list").sortWithinPartitions("list", "n", F.desc("rest"), "fam")
+    pairs = cut(candidate_pairs(lists.select("list", "fam", "n", "rest", "f1", "size", "radius", "buckets"), percent))
+    judged = cut(compare(rows, pairs, k, ["ra", "rb"], False))
     distance = 1 - F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))
-    near = judged.where(~linked(percent) & (F.col("ra") + F.col("rb") > 0) & (distance <= 1 - percent / 100 + F.col("ra") + F.col("rb") + 1e-9)).select("a", "b")
     edges = joined.select("a", "b").unionByName(judged.where(linked(percent)).select("a", "b"))
+    near = judged.where((F.col("ra") + F.col("rb") > 0) & (distance <= 1 - percent / 100 + F.col("ra") + F.col("rb") + 1e-9)).select("a", "b")
+    if count_links:
+        near = near.unionByName(families.where("c > 1").select(F.col("fam").alias("a"), F.col("fam").alias("b")))
+    else:  # only links that join components
+        known = cut(components(edges))
+        for side in ("a", "b"):
+            near = near.join(known.select(F.col("id").alias(side), F.col("component").alias(f"c{side}")), side, "left")
+        near = near.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     near = cut(near)
+    counts = None
     if near.limit(1).count():
-        leaders = near.select(F.col("a").alias("fam")).unionByName(near.select(F.col("b").alias("fam"))).distinct()
-        listed = members.join(leaders, "fam", "left_semi").select("fam", "member", "size", "gone", "more")
+        named = near.select(F.col("a").alias("fam")).unionByName(near.select(F.col("b").alias("fam"))).distinct()
+        listed = members.join(named, "fam", "left_semi").select("fam", "member", "size", "copies", "gone", "more")
         empty = F.lit(b"")
-        themselves = leaders.join(reps.select(F.col("rep").alias("fam"), "n"), "fam").select("fam", F.col("fam").alias("member"), F.col("n").alias("size"), empty.alias("gone"), empty.alias("more"))
-        listed = listed.unionByName(themselves).withColumn("row", F.row_number().over(Window.partitionBy("fam").orderBy("member")) - 1)
-        edges = edges.unionByName(derived_links(rows, near, cut(listed), reps, k, percent))
+        themselves = named.join(reps.select(F.col("rep").alias("fam"), "n", "copies"), "fam").select("fam", F.col("fam").alias("member"), F.col("n").alias("size"), "copies", empty.alias("gone"), empty.alias("more"))
+        derived = cut(derived_links(rows, near, listed.unionByName(themselves), reps, k, percent))
+        edges = edges.unionByName(derived.where("b is not null").select("a", "b"))
+        counts = derived.where("b is null").select(F.col("a").alias("rep"), "n")
     linked_sets = components(edges)
-    classes = reps.select(*key, F.col("rep")).join(linked_sets.withColumnRenamed("id", "rep"), "rep", "left").select(*key, F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
+    classes = reps.select(*key, "rep", "copies").join(linked_sets.withColumnRenamed("id", "rep"), "rep", "left")
+    if count_links:
+        # what isn't derived: links of two sets that are families of their own, and of a leader with its only member
+        alone = judged.where(linked(percent) & (F.col("ra") + F.col("rb") == 0)).select("a", "b")
+        alone = alone.unionByName(members.join(families.where("c = 1").select("fam"), "fam").select(F.col("fam").alias("a"), F.col("member").alias("b")))
+        both = alone.unionByName(alone.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        direct = both.join(reps.select(F.col("rep").alias("b"), "copies"), "b").select(F.col("a").alias("rep"), F.col("copies").alias("n"))
+        counts = direct if counts is None else counts.unionByName(direct)
+        classes = classes.join(counts.groupBy("rep").agg(F.sum("n").alias("links")), "rep", "left")
+    links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1 if count_links else F.lit(None).cast("long")
+    classes = classes.select(*key, F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"), links.alias("n_links"))
     out = own.select("id", *key).join(classes, key, "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("class_id", "id").alias("class_id"))
+    return out.select("id", *key, "class_id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links") if count_links else F.col("n_links"))
 
 
 def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, once each, with all their columns.
 
-    Documents without words stay, each of them. Rows without an id can't be named by
-    a link and stay as well.
+    Documents without words stay (null and empty texts included), each of them. Rows
+    without an id can't be named by a link and stay as well. Rows that repeat an id and
+    its set count as one; a repeated id with another text is judged on its own. Texts
+    are compared whole. Columns may have any names. An empty table stays empty.
     """
-    found = cut(similar_documents(docs, id_col=id_col, text_col=text_col, k=k, percent=percent))
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col))
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    if repeated:
-        out = docs.join(kept.distinct(), id_col, "left_semi").dropDuplicates([id_col])
-        return out.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    found = cut(_classes(rows, k, percent, 1 << 17, False))
+    kept = (F.col("component_id").isNull()) | (F.col("id") == F.col("component_id"))
+    named = found.where("id is not null")
+    if named.groupBy("id").count().where("count > 1").limit(1).count():
+        return _keep_of_repeated(docs, id_col, text_col, named.where(kept), k)
     # few rows go: those that certainly stay need no shuffle
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col))
-    marked = with_possible(docs, id_col, bit_table(gone, id_col))
-    maybe = marked.where("__possible").join(gone, id_col, "left_anti")
-    return marked.where("not __possible").unionByName(maybe).select(*docs.columns)
+    gone, flag = fresh(docs.columns, "gone"), fresh(docs.columns, "possible")
+    ids = named.where(~kept).select(F.col("id").alias(gone))
+    marked = with_possible(docs, id_col, bit_table(ids, gone), flag)
+    maybe = marked.where(F.col(flag)).join(ids, F.col(id_col).cast("long") == F.col(gone), "left_anti")
+    return marked.where(~F.col(flag)).unionByName(maybe).select(*docs.columns)
+
+
+def _keep_of_repeated(docs: DataFrame, id_col: str, text_col: str, kept: DataFrame, k: int) -> DataFrame:
+    """Where ids repeat: rows of the kept (id, set), one for each, and all rows without an id."""
+    order = [id_col, text_col, *(c for c in docs.columns if c not in (id_col, text_col))]
+    names = [fresh(docs.columns, x) for x in ("id", "n", "f1", "f2")]
+    named = docs.where(F.col(id_col).isNotNull()).select(*order)
+
+    def run(batches):
+        for chunk in chunks(batches):
+            sets = list(shingle_sets(chunk, k))
+            marks = np.array([(len(s), *(fingerprint(s) if len(s) else (0, 0))) for s in sets], np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([*chunk.rows.columns, *(pa.array(np.ascontiguousarray(c)) for c in marks.T)], [*order, *names[1:]])
+
+    schema = StructType([*named.schema.fields, *(StructField(x, LongType()) for x in names[1:])])
+    marked = named.mapInArrow(run, schema).withColumn(names[0], F.col(id_col).cast("long"))
+    of = kept.select(*[F.col(c).alias(x) for c, x in zip(("id", "n", "f1", "f2"), names, strict=True)]).distinct()
+    out = marked.join(of, names, "left_semi").dropDuplicates(names).select(*docs.columns)
+    return out.unionByName(docs.where(F.col(id_col).isNull()))

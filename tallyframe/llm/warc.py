@@ -146,9 +146,9 @@ def write_archives(pages: DataFrame, uri: str, *, id_col: str = "page_id", url_c
         shard = F.size(F.filter(marks, lambda b: b <= F.coalesce(F.col("page_id"), F.lit(-(2**63))))).cast("long")
     # only payloads that may occur twice are shuffled to learn the smallest id that has them
     first = cut(rows.groupBy("sha1", "n").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
-    marked = with_possible(rows, "sha1", bit_table(first, "sha1"))
-    single = marked.where("not __possible").withColumn("first", F.col("page_id"))
-    several = marked.where("__possible").join(first, ["sha1", "n"], "left").withColumn("first", F.coalesce("first", "page_id"))
+    marked = with_possible(rows, "sha1", bit_table(first, "sha1"), "possible")
+    single = marked.where("not possible").drop("possible").withColumn("first", F.col("page_id"))
+    several = marked.where("possible").drop("possible").join(first, ["sha1", "n"], "left").withColumn("first", F.coalesce("first", "page_id"))
     rows = single.unionByName(several).withColumn("shard", shard)
     rows = rows.repartitionByRange(len(borders) + 1, "shard").sortWithinPartitions("shard", "page_id", "sha1", "n", "url")
     rows = rows.select("shard", "page_id", "url", "payload", "sha1", "first")

@@ -31,14 +31,15 @@ def brute(rows, k, percent):
     out = []
     for i, (d, _) in enumerate(rows):
         ids = [rows[j][0] for j in range(len(rows)) if find(j) == find(i) and rows[j][0] is not None and (sets[i] or j == i)]
-        out.append((d, len(sets[i]), min(ids, default=None)))
+        links = sum(j != i and bool(sets[i]) and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]) for j in range(len(rows)))
+        out.append((d, len(sets[i]), min(ids, default=None), links))
     return sorted(out, key=str)
 
 
 @pytest.mark.parametrize(("k", "percent", "seed"), [(4, 85, 5), (5, 80, 6), (2, 60, 7)])
 def test_components_agree_with_all_pairs(spark, k, percent, seed):
     rows = documents(seed)
-    got = op.similar_documents(frame(spark, rows), k=k, percent=percent).select("doc_id", "n_shingles", "component_id").collect()
+    got = op.similar_documents(frame(spark, rows), k=k, percent=percent).select("doc_id", "n_shingles", "component_id", "n_links").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows, k, percent)
 
 
@@ -55,35 +56,43 @@ def test_families_whose_leaders_do_not_link(spark):
             copy[40 + rng.randrange(60)] = f"q{rng.randrange(10**6)}"
         rows.append((1000 - i, " ".join(copy)))
     for k, percent in ((1, 85), (3, 85), (1, 90)):
-        got = op.similar_documents(frame(spark, rows), k=k, percent=percent).select("doc_id", "n_shingles", "component_id").collect()
+        got = op.similar_documents(frame(spark, rows), k=k, percent=percent).select("doc_id", "n_shingles", "component_id", "n_links").collect()
         assert sorted(map(tuple, got), key=str) == brute(rows, k, percent)
 
 
-def test_derived_overlaps(spark):
-    """Links come out of the leaders' sets and the members' differences alone."""
+def test_derived_overlaps():
+    """Overlaps come out of the leaders' sets and the members' differences alone."""
     rng = random.Random(4)
-    vocabulary = [f"w{i}" for i in range(60)]
-    leaders = {1: rng.sample(vocabulary, 30), 2: rng.sample(vocabulary, 30)}
-    texts, members = dict(leaders), []
-    for fam in (1, 2):
-        for i in range(6):
-            own = [w for w in leaders[fam] if rng.random() < 0.8] + [w for w in vocabulary if rng.random() < 0.3]
-            texts[fam * 100 + i] = list(dict.fromkeys(own))
-            members.append((fam, fam * 100 + i))
-    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "id long, text string")
-    found = op.signatures(docs, 1).where("kind = 0")
-    reps = found.selectExpr("id as rep", "f1", "n", "f2")
-    f = {r.rep: r.f1 for r in reps.collect()}
-    pairs = spark.createDataFrame([(a, b, f[a], f[b]) for a, b in members], "a long, b long, fa long, fb long")
-    diffs = op.compare(docs, pairs, 1, [], True)
-    listed = diffs.selectExpr("a as fam", "b as member", "nb as size", "gone", "more")
-    own = spark.createDataFrame([(f, f, len(t), b"", b"") for f, t in leaders.items()], listed.schema)
-    listed = listed.unionByName(own).selectExpr("*", "0 as row")
-    near = spark.createDataFrame([(1, 2)], "a long, b long")
-    got = {(r.a, r.b) for r in op.derived_links(docs, near, listed, reps, 1, 40).collect()}
-    sides = [[f, *(m for g, m in members if g == f)] for f in (1, 2)]
-    want = {(p, q) for p in sides[0] for q in sides[1] if 100 * len(set(texts[p]) & set(texts[q])) >= 40 * len(set(texts[p]) | set(texts[q]))}
-    assert got == want and want
+    leaders = [np.array(sorted(rng.sample(range(60), 30)), np.uint64) for _ in range(2)]
+    blocks, texts = [], []
+    for leader in leaders:
+        own = set(leader.tolist())
+        sides = [set(leader.tolist())] + [{w for w in own if rng.random() < 0.8} | {w for w in range(60) if rng.random() < 0.3} for _ in range(6)]
+        members = [{"member": i, "size": len(m), "copies": 1} | {c: np.array(sorted(v), np.uint64).tobytes() for c, v in (("gone", own - m), ("more", m - own))} for i, m in enumerate(sides)]
+        blocks.append(op.Block.of(members))
+        texts.append(sides)
+    for i, j in ((0, 1), (0, 0), (1, 1)):
+        want = [[len(p & q) for q in texts[j]] for p in texts[i]]
+        assert op.derived_overlaps(blocks[i], blocks[j], leaders[i], leaders[j]).tolist() == want
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_a_large_family(spark, monkeypatch, block):
+    """One group of near copies, cut into several blocks and list cells."""
+    monkeypatch.setattr(op, "MEMBERS_PER_BLOCK", block)
+    monkeypatch.setattr(op, "CELL", 4 * block)
+    rng = random.Random(8)
+    base = words(rng, 80, 10**6)
+    rows = []
+    for i in range(40):
+        copy = list(base)
+        for _ in range(rng.randrange(8)):
+            copy[rng.randrange(80)] = f"z{rng.randrange(10**6)}"
+        rows += [(i, " ".join(copy))] * (1 + (i % 9 == 0))
+    got = op.similar_documents(frame(spark, rows), k=2, percent=80).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 2, 80)
+    kept = op.keep_one_of_each(frame(spark, rows), k=2, percent=80).collect()
+    assert sorted(r.doc_id for r in kept) == sorted({r[2] for r in brute(rows, 2, 80)})
 
 
 def test_bucket_counts_bound_the_overlap():
@@ -93,9 +102,13 @@ def test_bucket_counts_bound_the_overlap():
         y = np.unique(np.concatenate([x[: n // 2], rng.integers(0, 2**63, n // 3, dtype=np.uint64) * np.uint64(2)]))
         low = np.unique(np.concatenate([x, np.arange(3 * n, dtype=np.uint64)]))
         for a, b in ((x, y), (x, low), (y, low), (x, x)):
-            bound = op.overlap_bound(op.bucket_counts(a), op.bucket_counts(b))
-            assert bound >= len(np.intersect1d(a, b))
-        assert op.overlap_bound(op.bucket_counts(x), op.bucket_counts(x)) == len(x)
+            both = len(np.intersect1d(a, b))
+            jaccard = both / (len(a) + len(b) - both)
+            for percent in (10, 30, 50, 80, 100):
+                may = op.may_link([op.bucket_counts(a)], [op.bucket_counts(b)], np.array([[len(a), len(b)]]), np.zeros(1), percent)[0]
+                assert may or 100 * jaccard < percent
+    far = np.arange(100, dtype=np.uint64) << np.uint64(40)
+    assert not op.may_link([op.bucket_counts(x)], [op.bucket_counts(far)], np.array([[len(x), len(far)]]), np.zeros(1), 50)[0]
 
 
 def test_rare_shingles_come_first():
@@ -110,11 +123,23 @@ def test_one_of_each(spark):
     got = op.keep_one_of_each(docs, k=4, percent=85)
     assert got.columns == docs.columns
     kept = [r.doc_id for r in got.collect()]
-    expected = [d for d, _, c in brute(rows, 4, 85) if d is not None and d == c]
+    expected = [d for d, _, c, _ in brute(rows, 4, 85) if d is not None and d == c]
     assert sorted(x for x in kept if x is not None) == sorted(set(expected))
     assert kept.count(None) == sum(d is None for d, _ in rows)
 
 
+def test_clashing_columns_and_repeated_ids(spark):
+    """Names that the operator could want stay as they are; a repeated id with another text is judged on its own."""
+    text = "a b c d e f g h i j"
+    rows = [(1, text, 5, True), (2, text, 6, False), (2, "quite another text of its own words", 7, True), (3, None, 8, None), (3, None, 8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __word int, __possible boolean").selectExpr("*", "'x' as gone", "1 as possible", "2 as n", "3 as f1", "4 as id_")
+    got = op.keep_one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r["__word"], r["__possible"]) for r in got.collect()) == [(1, 5, True), (2, 7, True), (3, 8, None)]
+    once = docs.where("__word < 7")
+    assert [(r.doc_id, r["__word"], r["__possible"], r.gone, r.possible) for r in op.keep_one_of_each(once).collect()] == [(1, 5, True, "x", 1)]
+
+
 def test_empty_table(spark):
     assert op.similar_documents(empty(spark)).count() == 0
     assert op.keep_one_of_each(empty(spark)).count() == 0
