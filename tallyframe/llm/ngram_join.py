@@ -88,8 +88,8 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def bucket_counts(s: np.ndarray) -> bytes:
-    """How many elements fall into each of about n / 4 hash buckets (255: at least so many)."""
-    bits = max(4, (len(s) // 4).bit_length())
+    """How many elements fall into each of about n / 8 hash buckets (255: at least so many)."""
+    bits = max(4, (len(s) // 8).bit_length())
     return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 

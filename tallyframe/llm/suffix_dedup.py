@@ -13,11 +13,16 @@ prefixes of neighbours in both orders tell which windows around an anchor are eq
 in full, and the widest of them bound the removed bytes. All comparisons are on the
 bytes; hashes only bring candidates together.
 
-Shuffles: anchors by hash (about 0.4 bytes per byte of text), the texts once by
-document (used both to cut out contexts and to apply the removals), and the
-contexts of anchors whose hash occurs twice. Groups of over ``hot_rows`` anchors
-are not sorted in one task: their windows are counted by a 128-bit hash instead,
-with partial aggregation.
+A gram that occurs very often is mostly surrounded by the same bytes (copies, passages,
+runs of one period). Beyond ``hot_rows`` anchors, equal surroundings become a class,
+combined before the shuffle: what occurs twice is repeated in full, and one of each class
+is sorted like any other group. Classes of one gram that are themselves more than
+``hot_rows`` can't be sorted in one task; their windows are counted by a 128-bit hash.
+The rows that come out are the same whichever way a group takes.
+
+Shuffles: anchors by hash (about 0.4 bytes per byte of text; those of frequent grams are
+dealt by place), the texts once by document (used both to cut out contexts and to apply
+the removals), and the contexts of anchors whose hash occurs twice.
 """
 
 from __future__ import annotations
@@ -273,6 +278,43 @@ def contexts(rows: DataFrame, wanted: DataFrame, length: int, gram: int) -> Data
     return joined.mapInArrow(run, "hash long, k1 long, k2 long, at int, before int, around binary")
 
 
+def classes_of(found: DataFrame) -> DataFrame:
+    """``found`` (contexts) with c1 and c2: 128 bits of the surroundings and the place of the anchor in them."""
+
+    def run(batches):
+        for batch in batches:
+            before, around = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            digests = [hashlib.blake2b(x, digest_size=16, salt=b.to_bytes(8, "big")).digest() for x, b in zip(around, before, strict=True)]
+            pair = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(c)) for c in pair.T)], [*batch.schema.names, "c1", "c2"])
+
+    return found.mapInArrow(run, "hash long, k1 long, k2 long, at int, before int, around binary, c1 long, c2 long")
+
+
+def class_spans(found: DataFrame, length: int, gram: int, hot_rows: int) -> DataFrame:
+    """Removed ranges of the anchors of frequent grams: by class of equal surroundings, then for each anchor."""
+    marked = cut(classes_of(found))
+    size = F.length("around")
+    classes = cut(marked.groupBy("hash", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.first("before").alias("before"), F.first("around").alias("around")))
+    # windows that two equal surroundings hold are repeated, from the first to the last of them
+    whole = classes.where((F.col("n") > 1) & (size >= length)).select("c1", "c2", (-F.col("before")).cast("long").alias("start"), (size - F.col("before")).cast("long").alias("stop"))
+    per_gram = classes.groupBy("hash").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    one_of_each = classes.join(per_gram, "hash").select("hash", F.col("c1").alias("k1"), F.col("c2").alias("k2"), F.lit(0).alias("at"), "before", "around", "m")
+    few = one_of_each.where(F.col("m") <= hot_rows).drop("m")
+    many = one_of_each.where(F.col("m") > hot_rows).drop("m")
+    spans = sorted_spans(few.repartition("hash").sortWithinPartitions("hash"), length, gram)
+    if many.limit(1).count():
+        spans = spans.unionByName(counted_spans(many, length, gram))
+    spans = whole.unionByName(spans.withColumnsRenamed({"k1": "c1", "k2": "c2"})).groupBy("c1", "c2").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return marked.select("c1", "c2", "k1", "k2", "at").join(spans, ["c1", "c2"]).select("k1", "k2", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("stop")).alias("stop"))
+
+
+def frequent_grams(rows: DataFrame, length: int, gram: int, hot_rows: int, share: int = 16, limit: int = 1 << 17) -> DataFrame:
+    """Grams that a sixteenth of the texts shows to be frequent; it only says how rows are dealt, never what comes out."""
+    part = rows.where(F.pmod(F.xxhash64("k2", F.lit(1)), F.lit(share)) == 0)
+    return anchor_rows(part, length, gram).groupBy("hash").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") * share > hot_rows).orderBy(F.desc("c"), "hash").limit(limit).select("hash")
+
+
 def sorted_spans(found: DataFrame, length: int, gram: int) -> DataFrame:
     """Removed ranges (k1, k2, start, stop) from contexts, one hash group after another."""
     reach = length - gram
@@ -358,21 +400,25 @@ def counted_spans(found: DataFrame, length: int, gram: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = 64, hot_rows: int = 100_000, with_text: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and, on demand, kept_bytes).
 
-    A null text is empty; texts under ``length`` bytes lose nothing. Repeated rows are
-    places of their own, so a row that occurs twice loses all its bytes (from
-    ``length`` on). Null ids are rows like others. Other columns are ignored. An
-    empty table gives no rows.
+    A null text is empty; texts under ``length`` bytes lose nothing; texts of any length are
+    taken whole. Repeated rows are places of their own, so a row that occurs twice loses
+    all its bytes (from ``length`` on). Null ids are rows like others. Ties need no rule:
+    all places of a repeated string go. Other columns are ignored, whatever their names.
+    An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("k1"), F.xxhash64(text).alias("k2"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    every = anchor_rows(rows, length, gram)
-    twice = every.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("hash"))).where("c > 1")
-    twice = cut(twice)
+    frequent = cut(frequent_grams(rows, length, gram, hot_rows)).withColumn("hot", F.lit(True))
+    every = anchor_rows(rows, length, gram).join(F.broadcast(frequent), "hash", "left")
+    # anchors of frequent grams are dealt by place; the others are counted
+    part = F.when(F.col("hot"), F.pmod(F.xxhash64(*KEY, "at"), F.lit(4096))).otherwise(0)
+    every = every.withColumn("part", part).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("hash", "part")))
+    twice = cut(every.select("hash", *KEY, "at", F.when(F.col("hot"), hot_rows + 1).otherwise(F.col("c")).alias("c")).where("c > 1"))
     found = contexts(rows, twice.where(F.col("c") <= hot_rows).select("hash", *KEY, "at"), length, gram)
     spans = sorted_spans(found.repartition("hash").sortWithinPartitions("hash"), length, gram)
     hot = twice.where(F.col("c") > hot_rows)
     if hot.limit(1).count():
-        spans = spans.unionByName(counted_spans(cut(contexts(rows, hot.select("hash", *KEY, "at"), length, gram)), length, gram))
+        spans = spans.unionByName(class_spans(contexts(rows, hot.select("hash", *KEY, "at"), length, gram), length, gram, hot_rows))
     lists = spans.groupBy(*KEY).agg(F.collect_set(F.struct("start", "stop")).alias("list"))
     joined = rows.join(lists, KEY, "left").select("k1", "k2", "doc_id", "text", "list")
 

@@ -60,6 +60,24 @@ def test_counting_everything_agrees_with_all_windows(spark, rows, length, gram):
     assert sorted(map(tuple, got), key=str) == brute(rows, length)
 
 
+def test_a_gram_with_over_100_000_anchors_is_sorted(spark, monkeypatch):
+    """Runs of one period in many texts: classes of equal surroundings, then the sorting; nothing is counted by windows."""
+
+    def never(*_):
+        raise AssertionError("counted by windows")
+
+    monkeypatch.setattr(op, "counted_spans", never)
+    rng = random.Random(12)
+    own = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    rows = [(i, own(50) + "Is onhe. " * (280 + i % 9) + own(60)) for i in range(400)]
+    rows += [(900, "Is onhe. " * 40), (901, own(300)), (902, "x" + "Is onhe. " * 22 + "?")]
+    docs = frame(spark, rows)
+    anchors = op.anchor_rows(docs.selectExpr("doc_id as k1", "xxhash64(text) as k2", "text"), 200, 64)
+    assert anchors.groupBy("hash").count().agg({"count": "max"}).first()[0] > 100_000
+    got = op.remove_repeats(docs, length=200).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 200)
+
+
 def test_kept_text_on_demand(spark):
     part = "0123456789" * 3
     docs = frame(spark, [(1, "left " + part), (2, part + " right")])
