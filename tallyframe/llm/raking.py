@@ -1,8 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
 
 Tokens are counted per cell (source, language, topic) in one pre-aggregating
-shuffle. Raking scales the cells to each target marginal in turn until ``sweeps``
-rounds are done; a cell's calibrated weight over its token count is the factor by
+shuffle. Raking scales the cells to each target marginal in turn until all marginals
+are within a tolerance; a cell's calibrated weight over its token count is the factor by
 which each of its documents counts. Factors are divided by the largest one, which
 gives inclusion probabilities of at most 1, and a document is kept if a portable
 hash of its id lies below its probability.
@@ -14,10 +14,15 @@ optimiser, which broadcasts the cell table only where it is small.
 
 from __future__ import annotations
 
+import warnings
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyframe.llm.prefilter import fresh
 from tallyframe.llm.store import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,33 +43,58 @@ def topic_of(text: Column) -> Column:
     )
 
 
-def token_cells(docs: DataFrame, text_col: str, dims: list[Column]) -> DataFrame:
-    """Each document with its cell: columns d0, d1, d2 (null: 'unknown') and n_tokens."""
-    named = [F.coalesce(d.cast("string"), F.lit("unknown")).alias(f"d{i}") for i, d in enumerate(dims)]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select("*", *[n.alias(f"__{i}") for i, n in enumerate(named)], F.regexp_count(text, F.lit(WORD)).cast("long").alias("__n"))
+@dataclass(frozen=True)
+class Names:
+    """Columns that mixing adds."""
+
+    cell: tuple[str, ...]
+    tokens: str
+    factor: str
+    probability: str
+    keep: str
+
 
+def names_for(docs: DataFrame, dims: int = 3) -> Names:
+    """Names that no column of ``docs`` has."""
+    return Names(tuple(fresh(docs.columns, f"__{i}") for i in range(dims)), *(fresh(docs.columns, x) for x in ("__n", "__f", "__p", "__keep")))
 
-def rake(cells: DataFrame, keys: list[str], power: float, sweeps: int, cut_every: int = 2) -> DataFrame:
-    """Add ``w``: cell weights with each marginal's shares equal to its smoothed token shares.
 
-    The target share of a value v of a marginal is tokens(v)**power over the sum
-    of that over all values: 1 keeps the mixture, 0 makes all values equal.
-    Cells without tokens get weight 0.
+def rake(cells: DataFrame, keys: list[str], power: float, sweeps: int, targets: DataFrame | None = None, tolerance: float = 1e-6, most_sweeps: int = 60) -> DataFrame:
+    """Add ``w``: cell weights whose marginals have the target shares, up to ``tolerance``.
+
+    ``targets`` has (dim, value, weight): dim counts the keys from 0, weights are scaled to
+    the sum 1 over the values that are there. Without targets for a dim, the target share
+    of a value is tokens(value)**power over the sum of that over all values: 1 keeps the
+    mixture, 0 makes all values equal. Values of a dim that has targets but not for them,
+    and cells without tokens, get weight 0. Errors are measured after every ``sweeps``
+    sweeps; targets that can't be met together end in a warning after ``most_sweeps``.
     """
+    given = set() if targets is None else {r[0] for r in targets.select("dim").distinct().limit(len(keys) + 1).collect()}
     out = cells
-    for k in keys:
-        marginal = cells.groupBy(k).agg(F.sum("tokens").alias("__m"))
-        mass = marginal.agg(F.sum(F.pow("__m", F.lit(power))).alias("__s"))
-        marginal = marginal.join(F.broadcast(mass)).select(k, (F.pow("__m", F.lit(power)) / F.nullif("__s", F.lit(0.0))).alias(f"t_{k}"))
+    for i, k in enumerate(keys):
+        marginal = cells.groupBy(k).agg(F.sum("tokens").alias("mass"))
+        if i in given:
+            wanted = targets.where(F.col("dim") == i).groupBy(F.col("value").cast("string").alias("value")).agg(F.sum("weight").cast("double").alias("share"))
+            marginal = marginal.join(wanted, F.col(k) == F.col("value"), "left").select(k, F.when(F.col("mass") > 0, F.coalesce("share", F.lit(0.0))).otherwise(0.0).alias("mass"))
+        else:
+            marginal = marginal.select(k, F.pow("mass", F.lit(power)).alias("mass"))
+        every = marginal.agg(F.sum("mass").alias("every"))
+        marginal = marginal.join(F.broadcast(every)).select(k, (F.col("mass") / F.nullif("every", F.lit(0.0))).alias(f"t_{k}"))
         out = out.join(marginal, k)
-    out = out.withColumn("w", F.col("tokens").cast("double"))
-    for sweep in range(sweeps):
-        for k in keys:
-            have = F.sum("w").over(Window.partitionBy(k))
-            out = out.withColumn("w", F.coalesce(F.col("w") * F.col(f"t_{k}") / F.nullif(have, F.lit(0.0)), F.lit(0.0)))
-        if (sweep + 1) % cut_every == 0:
-            out = cut(out)
+    out = cut(out.withColumn("w", F.col("tokens").cast("double")))
+    for done in range(sweeps, most_sweeps + sweeps, sweeps):
+        out = out.coalesce(1)  # one row for each cell: windows over one partition need no shuffle
+        for _ in range(sweeps):
+            for k in keys:
+                have = F.sum("w").over(Window.partitionBy(k))
+                out = out.withColumn("w", F.coalesce(F.col("w") * F.col(f"t_{k}") / F.nullif(have, F.lit(0.0)), F.lit(0.0)))
+        out = cut(out)
+        errors = [out.groupBy(k).agg(F.abs(F.sum("w") - F.coalesce(F.first(f"t_{k}"), F.lit(0.0))).alias("error")) for k in keys]
+        error = reduce(DataFrame.unionByName, [e.select("error") for e in errors]).agg(F.max("error")).first()[0] or 0.0
+        if error <= tolerance:
+            break
+    else:
+        warnings.warn(f"the targets can't be met together: a marginal is off by {error:.2g} after {done} sweeps", stacklevel=2)
     return out
 
 
@@ -79,32 +109,45 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     dims: list[Column] | None = None,
+    targets: DataFrame | None = None,
     power: float = 0.95,
     sweeps: int = 6,
+    tolerance: float = 1e-6,
     carry: list[str] | None = None,
+    names: Names | None = None,
 ) -> DataFrame:
-    """All rows and columns of ``docs`` (or just those to ``carry``) with __0, __1, __2 (cell), __n (tokens), __f (target over present share), __p (probability), __keep.
-
-    Null source, language or topic is the value 'unknown'. Documents without
-    words have no tokens to weigh: they get the probability 1 if their cell has no
-    tokens at all, else that of the cell. A null id hashes as 0 and is kept.
-    Repeated rows share one fate. An empty table gives no rows.
+    """All rows and columns of ``docs`` (or just those to ``carry``) with the columns that ``names`` gives.
+
+    Those are the cell (source, language, topic), tokens, the target over the present
+    share, the inclusion probability and whether the row is kept; by default __0, __1,
+    __2, __n, __f, __p and __keep, with underscores added where ``docs`` has such a column
+    (see ``names_for``). ``targets`` (dim, value, weight) are the marginals to rake to.
+
+    Null source, language or topic is the value 'unknown'. Documents without words
+    (null and empty texts too) have no tokens to weigh: they get the probability 1 if
+    their cell has no tokens at all, else that of the cell. Texts are counted whole. A
+    null id hashes as 0 and is kept. Repeated rows and equal ids share one fate. An empty
+    table gives no rows.
     """
     dims = dims or [F.col("source"), F.col("lang"), topic_of(F.col(text_col))]
-    keys = [f"__{i}" for i in range(len(dims))]
-    rows = token_cells(docs, text_col, dims)
+    own = names or names_for(docs, len(dims))
+    keys = list(own.cell)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    cell = [F.coalesce(d.cast("string"), F.lit("unknown")).alias(k) for d, k in zip(dims, keys, strict=True)]
+    rows = docs.select("*", *cell, F.regexp_count(text, F.lit(WORD)).cast("long").alias(own.tokens))
     if carry is not None:  # a narrow table: the texts are read once
-        rows = cut(rows.select(*carry, *keys, "__n"))
-    cells = rows.groupBy(*keys).agg(F.sum("__n").alias("tokens"))
-    raked = rake(cut(cells), keys, power, sweeps)
+        rows = cut(rows.select(*carry, *keys, own.tokens))
+    plain = [f"d{i}" for i in range(len(keys))]
+    cells = rows.groupBy(*[F.col(k).alias(d) for k, d in zip(keys, plain, strict=True)]).agg(F.sum(own.tokens).alias("tokens"))
+    raked = rake(cut(cells), plain, power, sweeps, targets, tolerance)
     factor = F.col("w") / F.nullif(F.col("tokens"), F.lit(0)).cast("double")
-    raked = raked.select(*keys, "tokens", factor.alias("__f"))
-    top = raked.agg(F.max("__f").alias("__top"), F.sum("tokens").alias("__every"))
+    raked = raked.select(*plain, "tokens", factor.alias("f"))
+    top = raked.agg(F.max("f").alias("top"), F.sum("tokens").alias("every"))
     # written, so that the join below knows its size
-    raked = cut(raked.join(F.broadcast(top)).select(*keys, (F.col("__f") / F.col("__top")).alias("__r"), (F.col("__f") * F.col("__every")).alias("__f")))
-    out = rows.join(raked, keys)
-    p = F.coalesce(F.least(F.col("__r"), F.lit(1.0)), F.lit(1.0))
-    return out.withColumn("__p", p).withColumn("__keep", F.coalesce(unit_hash(F.col(id_col)), F.lit(0.0)) < F.round("__p", 9))
+    p = F.coalesce(F.least(F.col("f") / F.nullif(F.col("top"), F.lit(0.0)), F.lit(1.0)), F.lit(1.0))
+    raked = cut(raked.join(F.broadcast(top)).select(*[F.col(d).alias(k) for k, d in zip(keys, plain, strict=True)], (F.col("f") * F.col("every")).alias(own.factor), p.alias(own.probability)))
+    chance = F.coalesce(unit_hash(F.col(id_col)), F.lit(0.0)) < F.round(own.probability, 9)
+    return rows.join(raked, keys).withColumn(own.keep, chance).select(*[c for c in rows.columns if c not in (*keys, own.tokens)], *keys, own.tokens, own.factor, own.probability, own.keep)
 
 
 def oracle_sql(power: float = 0.95, sweeps: int = 6) -> str:

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyframe.llm.prefilter import bit_table, with_possible
 from tallyframe.llm.store import cut
 from tallyframe.llm.text import chunks, mix, prefix_hash, powers, range_hash
 
@@ -418,7 +419,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     spans = sorted_spans(found.repartition("hash").sortWithinPartitions("hash"), length, gram)
     hot = twice.where(F.col("c") > hot_rows)
     if hot.limit(1).count():
-        spans = spans.unionByName(class_spans(contexts(rows, hot.select("hash", *KEY, "at"), length, gram), length, gram, hot_rows))
+        # only texts that may hold a frequent gram are shuffled a second time
+        held = with_possible(rows, "k2", bit_table(hot, "k2"), "possible").where("possible")
+        spans = spans.unionByName(class_spans(contexts(held, hot.select("hash", *KEY, "at"), length, gram), length, gram, hot_rows))
     lists = spans.groupBy(*KEY).agg(F.collect_set(F.struct("start", "stop")).alias("list"))
     joined = rows.join(lists, KEY, "left").select("k1", "k2", "doc_id", "text", "list")
 
