@@ -36,8 +36,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample by the raked probabilities of source, language and topic."""
-    mixed = raking.mix_sources(docs)
-    return mixed.where("__keep").select(*docs.columns)
+    names = raking.names_for(docs)
+    return raking.mix_sources(docs, names=names).where(names.keep).select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
