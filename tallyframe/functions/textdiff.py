@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 HAN = re.compile(r"[一-鿿]+")
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+(?:\.[0-9]+)?|\s+|.")
 SEGMENT = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("left", T.StringType()), T.StructField("right", T.StringType())]))
-# fixed values: signs that recognition takes for one another
-SLIPS = {("士", "±"), ("O", "0"), ("l", "1"), ("I", "1"), ("S", "5"), ("一", "-"), ("，", ","), ("。", "."), ("Q", "Ω")}
+# fixed values: how long and how many the misread spans of a text may be
+SLIP_CHARACTERS, SLIP_SPANS = 3, 8
 
 
 def ratio_of(a: str | None, b: str | None) -> float | None:
@@ -112,10 +112,18 @@ def wording_differences(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def slips_of(reading: str, reference: str) -> bool:
-    """The texts differ only in single signs that are taken for one another, never in a digit or unit."""
-    if len(reading) != len(reference) or reading == reference:
+    """The texts differ in a few short spans only, none of which may be two values: digits on both sides, or letters on both."""
+    left, right = (MARKS.sub("", re.sub(r"\s+", "", t)) for t in (reading, reference))
+    spans = [d for d in difflib.SequenceMatcher(None, left, right, autojunk=False).get_opcodes() if d[0] != "equal"]
+    if not left or not right or not 0 < len(spans) <= SLIP_SPANS:
         return False
-    return all(x == y or (x, y) in SLIPS and not x.isdigit() for x, y in zip(reading, reference, strict=True))
+    letters = re.compile("[A-Za-z]+")
+    for _, i, j, k, m in spans:
+        x, y = left[i:j], right[k:m]
+        two_numbers = any(c.isdigit() for c in x) and any(c.isdigit() for c in y)
+        if max(len(x), len(y)) > SLIP_CHARACTERS or two_numbers or (letters.fullmatch(x) and letters.fullmatch(y)):
+            return False
+    return True
 
 
 @F.pandas_udf(T.BooleanType())
@@ -212,3 +220,86 @@ def facts_of(text: str | None) -> list[dict]:
 @F.pandas_udf(FACT)
 def numeric_facts(text: pd.Series) -> pd.Series:
     return pd.Series([facts_of(x) for x in text])
+
+
+# fixed values: verdicts of two printed units, and torque units printed without their point
+UNIT_REASONS = ("EXACT_UNIT_MATCH", "UNIT_PEAK_SEMANTICS_UNRESOLVED", "UNIT_SPELLING_DIFFERENCE", "UNIT_PEAK_SUFFIX_EQUIVALENT", "UNIT_SI_EQUIVALENT", "UNIT_SCALE_MISMATCH", "UNIT_DIMENSION_MISMATCH")
+TORQUE = {"Nm": "N·m", "Ncm": "N·cm", "Nmm": "N·mm"}
+_SUPERSCRIPTS = str.maketrans("⁰¹²³⁴⁵⁶⁷⁸⁹µΩ", "0123456789μΩ")
+
+
+def unit_label(unit: str | None) -> str:
+    """A printed unit in one spelling; its scale stays."""
+    label = re.sub(r"[\s^]", "", (unit or "").translate(_SUPERSCRIPTS))
+    return TORQUE.get(label, label)
+
+
+def unit_product(label: str) -> tuple[int, str] | None:
+    """Power of ten and base units of factors joined by points; null if one isn't known."""
+    power, names = 0, []
+    for factor in label.split("·"):
+        shift, base = _power(factor)
+        if re.sub(r"\^[0-9]+$", "", base) not in BASES:
+            return None
+        power, names = power + shift, [*names, base]
+    return power, "·".join(names)
+
+
+def unit_relation_of(left: str | None, right: str | None, peak_context: bool = False) -> dict:
+    """Whether two printed units are one, and why; another scale of one dimension is never taken for equal."""
+    a, b = unit_label(left), unit_label(right)
+    litre = lambda u: re.sub(r"^([mμn]?)l$", r"\1L", u)
+    peaks = [u.endswith("p") and len(u) > 1 for u in (a, b)]
+    products = [unit_product(u[:-1] if peak else u) for u, peak in zip((a, b), peaks, strict=True)]
+    exact, unresolved, spelling, suffix, same, scale, dimension = UNIT_REASONS
+    if litre(a) == litre(b):
+        reason = exact
+    elif peaks[0] != peaks[1] and not peak_context:
+        reason = unresolved
+    elif None in products:
+        reason = spelling
+    elif products[0] == products[1]:
+        reason = suffix if peaks[0] != peaks[1] else same
+    else:
+        reason = scale if products[0][1] == products[1][1] else dimension
+    return {"equal": reason in (exact, suffix, same), "reason": reason}
+
+
+@F.pandas_udf(T.StructType([T.StructField("equal", T.BooleanType()), T.StructField("reason", T.StringType())]))
+def unit_relation(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+    known: dict = {}
+    pairs = list(zip(left, right, strict=True))
+    return pd.DataFrame([known.get(p) or known.setdefault(p, unit_relation_of(*p)) for p in pairs], columns=["equal", "reason"])
+
+
+def few_characters_of(left: str, right: str, least: int = 12, most: int = 2) -> bool:
+    """Long cells of which at most ``most`` characters differ on either side."""
+    spans = [d for d in difflib.SequenceMatcher(None, left, right, autojunk=False).get_opcodes() if d[0] != "equal"]
+    changed = [sum(j - i for _, i, j, _, _ in spans), sum(m - k for _, _, _, k, m in spans)]
+    return min(len(left), len(right)) >= least and bool(spans) and max(changed) <= most
+
+
+@F.pandas_udf(T.BooleanType())
+def few_characters_differ(left: pd.Series, right: pd.Series) -> pd.Series:
+    return pd.Series([few_characters_of(x or "", y or "") for x, y in zip(left, right, strict=True)])
+
+
+def lines_moved_of(lines: list[str], text: str) -> bool:
+    """The text is the lines with one run of whole lines (of four characters or more) at another place."""
+    parts = [x for x in (MARKS.sub("", re.sub(r"\s+", "", line)) for line in lines) if x]
+    whole = MARKS.sub("", re.sub(r"\s+", "", text))
+    n = len(parts)
+    if "".join(parts) == whole or len("".join(parts)) != len(whole):
+        return False
+    for i in range(n):
+        for j in range(i + 1, n + 1):
+            run, rest = "".join(parts[i:j]), "".join(parts[:i] + parts[j:])
+            at = whole.find(run)
+            if len(run) >= 4 and rest and at >= 0 and whole.find(run, at + 1) < 0 and whole[:at] + whole[at + len(run) :] == rest:
+                return True
+    return False
+
+
+@F.pandas_udf(T.BooleanType())
+def lines_moved(lines: pd.Series, text: pd.Series) -> pd.Series:
+    return pd.Series([lines_moved_of(list(x) if x is not None else [], y or "") for x, y in zip(lines, text, strict=True)])

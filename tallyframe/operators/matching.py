@@ -101,12 +101,18 @@ def by_candidates(count: Column, equal: Column) -> Column:
 
 
 def expand_references(items: DataFrame, item: str, text: str) -> DataFrame:
-    """(item, referred) from 'see item N' and 'see items N to M' in a text, ranges expanded (up to 2000)."""
+    """(item, referred) from 'see item N' and 'see items N to M' in a text, ranges expanded.
+
+    A range that runs backwards or over more than 2000 items isn't followed: its row has
+    referred null, which is for a person to decide.
+    """
     ranges = F.regexp_extract_all(F.col(text), F.lit(r"见?(?:第|序号|item )\s*([0-9]+)\s*(?:[~～至-]\s*([0-9]+))?"), F.lit(0))
     spans = items.select(item, F.explode(ranges).alias("__r"))
     first = F.regexp_extract("__r", "([0-9]+)", 1).try_cast("int")
     last = F.coalesce(F.regexp_extract("__r", r"[~～至-]\s*([0-9]+)", 1).try_cast("int"), first)
-    return spans.where((last >= first) & (last - first <= 2000)).select(item, F.explode(F.sequence(first, last)).alias("referred")).distinct()
+    followed = F.coalesce((last >= first) & (last - first <= 2000), F.lit(False))
+    none = F.array(F.lit(None).cast("int"))
+    return spans.select(item, F.explode(F.when(followed, F.sequence(first, F.greatest(first, last))).otherwise(none)).alias("referred")).distinct()
 
 
 def contained(needles: DataFrame, needle_id: str, needle: str, rows: DataFrame, row_id: str, text: str, anchor: int = 12) -> DataFrame:
