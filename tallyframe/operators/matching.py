@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyframe.operators.lineage import kept
+
 
 def candidate_edges(source: DataFrame, target: DataFrame, on: Column, source_id: str, target_id: str) -> DataFrame:
     """Distinct (source_id, target_id) pairs that satisfy ``on``; give it an equality, or it is a nested loop."""
@@ -42,15 +44,17 @@ def tiered(source: DataFrame, target: DataFrame, source_id: str, target_id: str,
 
     A tier is (name, key of the source, key of the target); null keys match nothing.
     """
+    # one narrow row for each side's row, its keys hashed: no tier reads the sides again
+    numbered = [f"k{i}" for i in range(len(tiers))]
+    narrow = lambda df, i, side: kept(df.select(i, *[F.md5(tier[side].cast("string")).alias(k) for k, tier in zip(numbered, tiers, strict=True)]))
+    left, right = narrow(source, source_id, 1), narrow(target, target_id, 2)
     found = None
-    for name, a, b in tiers:
-        left = source.select(source_id, a.alias("__key")).where("__key is not null")
-        right = target.select(target_id, b.alias("__key")).where("__key is not null")
+    for k, (name, _, _) in zip(numbered, tiers, strict=True):
         if found is not None:
             left = left.join(found.select(source_id), source_id, "left_anti")
             right = right.join(found.select(target_id), target_id, "left_anti")
-        one = lambda df, i: df.groupBy("__key").agg(F.count(F.lit(1)).alias("n"), F.first(i).alias(i)).where("n = 1").drop("n")
-        step = one(left, source_id).join(one(right, target_id), "__key").select(source_id, target_id, F.lit(name).alias("tier"))
+        one = lambda df, i, k=k: df.where(F.col(k).isNotNull()).groupBy(k).agg(F.count(F.lit(1)).alias("n"), F.first(i).alias(i)).where("n = 1").drop("n")
+        step = kept(one(left, source_id).join(one(right, target_id), k).select(source_id, target_id, F.lit(name).alias("tier")))
         found = step if found is None else found.unionByName(step)
     return found
 

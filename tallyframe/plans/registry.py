@@ -27,5 +27,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-for _module in ("reconciliation", "sequence", "aggregation", "values", "runs", "relational", "event_time", "judgement", "rows", "references"):
+for _module in ("reconciliation", "sequence", "aggregation", "values", "runs", "relational", "event_time", "judgement", "rows", "references", "store"):
     importlib.import_module(f"tallyframe.plans.{_module}")
