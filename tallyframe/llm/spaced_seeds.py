@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.text import ASCII_PUNCTUATION, Chunk, chunks, drop_bytes, mix, spans, string_bytes, word_hashes
 
-MASKS = ("1101100111", "1011010111", "11011011")
-SHORTEST = 8
-_FILTER_BITS = 20
+MASKS = ("1111011", "11001000111", "11010100011", "111111")
+MIDDLE_MASKS = ("111011", "11010011", "11111")
+HITS = 1 << 20
 SCHEMA = "doc_id long, item_id long, n_match long, n_overlap long, doc_word long, item_words long"
 
 
@@ -44,50 +44,64 @@ def seed_hashes(words: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return mix(out)
 
 
+def masks_of(n: int) -> tuple[str, ...]:
+    """The masks for an item of n tokens."""
+    if n >= 15:
+        return MASKS
+    if n >= 10:
+        return MIDDLE_MASKS
+    if n < 5:
+        return ("1" * n,) if n else ()
+    return ("1" * (n - 1), *("1" * i + "0" + "1" * (n - 1 - i) for i in range(1, n - 1)))
+
+
 class SeedIndex:
     """Seeds of some items: sorted hashes with (item, position), and a bit table that rejects most lookups."""
 
-    def __init__(self, ids: list, texts: list, masks: tuple[str, ...] = MASKS):
+    def __init__(self, ids: list, texts: list):
         buf, off = string_bytes(pa.array(texts, pa.string()))
         chunk = drop_bytes(Chunk(pa.array(ids, pa.int64()), buf, off), ASCII_PUNCTUATION)
         starts, ends, woff = spans(chunk.buf, chunk.off)
         words = word_hashes(chunk.buf, starts, ends)
         self.ids, self.items = ids, [words[a:b] for a, b in zip(woff[:-1], woff[1:], strict=True)]
-        # items shorter than every mask are looked up whole
-        lengths = sorted({len(x) for x in self.items if 0 < len(x) < SHORTEST})
-        self.masks = [*masks, *("1" * n for n in lengths)]
+        self.masks = list(dict.fromkeys(mask for n in sorted({len(x) for x in self.items}) for mask in masks_of(n)))
         found = [[] for _ in range(3)]
         for i, item in enumerate(self.items):
-            for m, mask in enumerate(self.masks):
-                if m >= len(masks) and len(item) != len(mask):
-                    continue
-                h = seed_hashes(item, mask, m)
+            for mask in masks_of(len(item)):
+                h = seed_hashes(item, mask, self.masks.index(mask))
                 for out, x in zip(found, (h, np.full(len(h), i), np.arange(len(h))), strict=True):
                     out.append(x)
         self.hash, self.item, self.at = (np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(found, (np.uint64, np.int64, np.int64), strict=True))
         order = np.argsort(self.hash, kind="stable")
         self.hash, self.item, self.at = self.hash[order], self.item[order], self.at[order]
-        self.bits = np.zeros(1 << _FILTER_BITS, bool)
-        self.bits[self.hash >> np.uint64(64 - _FILTER_BITS)] = True
-
-    def alignments(self, words: np.ndarray, woff: np.ndarray) -> np.ndarray:
-        """Distinct (document, item, offset of the item's start in the document's words)."""
-        out = []
+        # four times as many places as seeds, 2**20 to 2**26
+        self.shift = np.uint64(64 - min(max(20, (4 * len(self.hash)).bit_length()), 26))
+        self.bits = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.bits[self.hash >> self.shift] = True
+
+    def alignments(self, words: np.ndarray, woff: np.ndarray, hits: int = HITS) -> Iterator[np.ndarray]:
+        """Distinct (document, item, offset of the item's start in the document's words), by runs of words with about ``hits`` hits."""
+        found, load = [], np.zeros(len(words), np.int64)
         for m, mask in enumerate(self.masks):
             h = seed_hashes(words, mask, m)
-            at = np.flatnonzero(self.bits[h >> np.uint64(64 - _FILTER_BITS)])
-            h = h[at]
-            first, last = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
+            at = np.flatnonzero(self.bits[h >> self.shift])
+            first, last = (np.searchsorted(self.hash, h[at], side) for side in ("left", "right"))
             hit = last > first
             at, first, n = at[hit], first[hit], (last - first)[hit]
-            if not len(at):
-                continue
-            seed = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-            at = np.repeat(at, n)
-            doc = np.searchsorted(woff, at, "right") - 1
-            inside = at + len(mask) <= woff[doc + 1]
-            out.append(np.stack([doc, self.item[seed], at - self.at[seed]], 1)[inside])
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
+            inside = at + len(mask) <= woff[np.searchsorted(woff, at, "right")]
+            found.append((at[inside], first[inside], n[inside]))
+            load[at[inside]] += n[inside]
+        run = np.cumsum(load) // hits
+        for k in np.unique(run[load > 0]):
+            low, high = np.searchsorted(run, k, "left"), np.searchsorted(run, k, "right")
+            out = []
+            for every, firsts, counts in found:
+                a, b = np.searchsorted(every, (low, high))
+                at, first, n = every[a:b], firsts[a:b], counts[a:b]
+                seed = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                at = np.repeat(at, n)
+                out.append(np.stack([np.searchsorted(woff, at, "right") - 1, self.item[seed], at - self.at[seed]], 1))
+            yield np.unique(np.concatenate(out), axis=0)
 
 
 def best_segment(equal: np.ndarray) -> tuple[int, int, int]:
@@ -104,7 +118,7 @@ def find_overlaps(index: SeedIndex, chunk: Chunk, min_match: int, max_substitute
     starts, ends, woff = spans(clean.buf, clean.off)
     words = word_hashes(clean.buf, starts, ends)
     best: dict[tuple[int, int], tuple] = {}
-    for doc, item, start in index.alignments(words, woff).tolist():
+    for doc, item, start in (row for run in index.alignments(words, woff) for row in run.tolist()):
         tokens = index.items[item]
         low, high = max(start, int(woff[doc])), min(start + len(tokens), int(woff[doc + 1]))
         a, b, match = best_segment(words[low:high] == tokens[low - start : high - start])
