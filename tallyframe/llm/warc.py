@@ -1,15 +1,16 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-partitioned by page id: a histogram of payload bytes over 4096
-equal-width id cells gives the shard borders, so that they depend on the rows only.
-Each shard is sorted and written as gzip members, one per record; a new file starts
+Records are range-partitioned by page id. A histogram of payload bytes over some
+4096 cells of ids gives the shard borders; cells that hold more than a shard are
+divided again, down to one id, so that the borders depend on the rows only and
+follow any spread of the ids. Each shard is sorted and written as gzip members, one per record; a new file starts
 when the compressed size passes ``roll_bytes``. Headers, record ids and digests are
 regenerated from the row. The same rows give the same bytes, on any cluster.
 
 Writers use names of their own below ``_temporary``; a task that is run again or
-twice leaves files that nobody commits. The driver renames the files of the
-successful attempts, writes the manifest under a temporary name and renames it
-last, so a reader sees all of an archive or none of it. Files are reached through
+twice leaves files that nobody commits. The files of the successful attempts are
+renamed in tasks (one that has its name already is left alone); the driver writes
+the manifest under a temporary name and renames it last, so a reader sees all of an archive or none of it. Files are reached through
 ``pyarrow.fs``, hence the folder may be in any store that it knows.
 
 Equal payloads (by length and SHA-1) are written once, as the response of the
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from tallyframe.llm.prefilter import bit_table, with_possible
 from tallyframe.llm.store import cut
 
-CELLS = 4096
+CELL_BITS, FINER_BITS = 12, 6
 DATE = "2024-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL namespace of RFC 4122
 FILES = "shard long, part long, temporary string, name string, records long, bytes long, sha256 string"
@@ -119,30 +120,58 @@ class _Roller:
 
 
 def shard_borders(sizes: DataFrame, shard_bytes: int) -> list[int]:
-    """First ids of the second and later shards; ``sizes`` has page_id and n."""
-    low, high, total = sizes.agg(F.min("page_id"), F.max("page_id"), F.sum("n")).first()
-    if low is None or not total:
+    """First ids of the second and later shards; ``sizes`` has page_id and n.
+
+    Cells are ids without their last bits. Only those over ``shard_bytes`` are divided,
+    so a pass brings at most 64 rows for each shard to the driver.
+    """
+    rows = sizes.where(F.col("page_id").isNotNull())
+    low, high = rows.agg(F.min("page_id"), F.max("page_id")).first()
+    if low is None:
         return []
-    width = max(1, -(-(high - low + 1) // CELLS))
-    cell = F.floor((F.col("page_id") - F.lit(low)) / F.lit(width)).cast("long")
-    cells = sorted((r[0], r[1]) for r in sizes.where(F.col("page_id").isNotNull()).groupBy(cell.alias("c")).agg(F.sum("n")).collect())
+    bits, part, cells = max(0, (high - low).bit_length() - CELL_BITS), rows, []
+    while True:
+        found = part.groupBy(F.shiftright("page_id", bits).alias("cell")).agg(F.sum("n").alias("n")).collect()
+        heavy = [r.cell for r in found if bits and r.n > shard_bytes]
+        whole = set(heavy)
+        cells += [(r.cell << bits, r.n) for r in found if r.cell not in whole]
+        if not heavy:
+            break
+        chosen = sizes.sparkSession.createDataFrame([(c,) for c in heavy], "cell long")
+        part = rows.join(F.broadcast(chosen), F.shiftright("page_id", bits) == F.col("cell"), "left_semi")
+        bits = max(0, bits - FINER_BITS)
     borders, held = [], 0
-    for at, n in cells:
+    for at, n in sorted(cells):
         if held and held + n > shard_bytes:
-            borders.append(low + at * width)
+            borders.append(at)
             held = 0
         held += n
     return borders
 
 
+def rename(spark: SparkSession, uri: str, entries: list[dict]) -> None:
+    """Give the files of the successful attempts their names; running it again changes nothing."""
+    names = spark.createDataFrame([(e["temporary"], e["name"]) for e in entries], "temporary string, name string").repartition(min(len(entries), 256))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        store, root = open_store(uri)
+        for batch in batches:
+            for temporary, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if store.get_file_info(f"{root}/{name}").type == fs.FileType.NotFound:
+                    store.move(f"{root}/{temporary}", f"{root}/{name}")
+            yield batch
+
+    names.mapInArrow(run, names.schema).agg(F.count("name")).collect()
+
+
 def write_archives(pages: DataFrame, uri: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", dedupe_from: int = 0, shard_bytes: int = 32 << 20, roll_bytes: int = 8 << 20) -> list[dict]:
     """Write all rows and commit; gives the manifest's entries. An empty table gives an empty manifest."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     rows = rows.withColumn("n", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1(F.col("payload").cast("binary")))
-    borders = shard_borders(rows.select("page_id", "n"), shard_bytes)
+    borders = shard_borders(cut(rows.select("page_id", "n")), shard_bytes)
     shard = F.lit(0).cast("long")
     if borders:
-        marks = F.array(*[F.lit(b).cast("long") for b in borders])
+        marks = F.split(F.lit(",".join(map(str, borders))), ",").cast("array<bigint>")
         shard = F.size(F.filter(marks, lambda b: b <= F.coalesce(F.col("page_id"), F.lit(-(2**63))))).cast("long")
     # only payloads that may occur twice are shuffled to learn the smallest id that has them
     first = cut(rows.groupBy("sha1", "n").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
@@ -172,8 +201,10 @@ def write_archives(pages: DataFrame, uri: str, *, id_col: str = "page_id", url_c
     entries = sorted((r.asDict() for r in rows.mapInArrow(run, FILES).collect()), key=lambda e: e["name"])
     if len({e["name"] for e in entries}) != len(entries):
         raise RuntimeError("a shard was written by two tasks")
+    if entries:
+        rename(pages.sparkSession, uri, entries)
     for e in entries:
-        store.move(f"{root}/{e.pop('temporary')}", f"{root}/{e['name']}")
+        del e["temporary"]
     with store.open_output_stream(f"{root}/_temporary/manifest") as out:
         out.write("".join(json.dumps(e, sort_keys=True) + "\n" for e in entries).encode())
     store.move(f"{root}/_temporary/manifest", f"{root}/manifest.jsonl")

@@ -61,6 +61,27 @@ def test_equal_rows_give_equal_bytes(spark):
     assert digests[0] == digests[1]
 
 
+def test_shards_follow_any_spread_of_ids(spark):
+    rows = [(i, "u", f"{i} " * 100) for i in range(2000)] + [(10**15, "u", "far"), (-(2**63), "u", "lowest"), (2**63 - 1, "u", "highest")]
+    sizes = spark.createDataFrame([(p, len(h)) for p, _, h in rows], "page_id long, n long")
+    borders = op.shard_borders(sizes, 50_000)
+    held = [0] * (len(borders) + 1)
+    for p, _, h in rows:
+        held[sum(b <= p for b in borders)] += len(h)
+    assert max(held) <= 50_000 and len(held) <= 2 * sum(held) // 50_000 + 2
+    uri = store.work_dir(spark, "warc")
+    entries = op.write_archives(pages(spark, rows), uri, shard_bytes=50_000)
+    assert len({e["shard"] for e in entries}) == len(held)
+    assert sorted(r.page_id for r in op.read_archives(spark, uri).select("page_id").collect()) == sorted(p for p, _, _ in rows)
+
+
+def test_renaming_again_changes_nothing(spark):
+    uri = store.work_dir(spark, "warc")
+    entries = op.write_archives(pages(spark, [(1, "u", "payload"), (2, "u", "other")]), uri)
+    op.rename(spark, uri, [{"temporary": "_temporary/gone", "name": e["name"]} for e in entries])
+    assert op.read_archives(spark, uri).count() == 2
+
+
 def test_small_payloads_may_be_written_each_time(spark):
     rows = [(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")]
     got = op.round_trip(pages(spark, rows), store.work_dir(spark, "warc"), dedupe_from=3)
