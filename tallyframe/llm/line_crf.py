@@ -8,8 +8,13 @@ repetitive) come first.
 
 Weights are fitted by gradient ascent on the penalised log-likelihood over a
 bounded sample of documents with a quality label (``sample_docs`` of each label, in
-the order of a hash of the id, until ``sample_lines`` lines); the lines of a document
-take its label. Scoring is one pass over whole texts, without a shuffle.
+the order of a hash of the id, until ``sample_lines`` lines; of a document with over
+``sample_doc_lines`` lines a run of so many, placed by the hash). Labels are given for
+documents, so those of lines are learned: a field without transitions weighs each line
+by itself; lines take the label that it finds, but in a good document the likeliest
+content lines up to half of the characters are content whatever it finds, and in a bad
+one the likeliest boilerplate lines are boilerplate. The field with transitions is
+fitted on these labels. Scoring is one pass over whole texts, without a shuffle.
 """
 
 from __future__ import annotations
@@ -202,7 +207,31 @@ class LineField:
         return cls(parameters[:-2], parameters[-2:])
 
 
-def fit_field(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample_docs: int, sample_lines: int) -> LineField | None:
+def line_labels(lines: Lines, quality: np.ndarray, evidence: np.ndarray) -> np.ndarray:
+    """A label for each line from its evidence (above 0: content), by the labels of the documents.
+
+    The lines that speak most for the document's label take it until they hold half of
+    its characters, the others follow their evidence (0: boilerplate).
+    """
+    doc = np.repeat(np.arange(len(quality)), np.diff(lines.first))
+    label = (evidence > 0).astype(np.int64)
+    order = np.lexsort((np.where(quality[doc] == 1, -evidence, evidence), doc))
+    total = np.concatenate([[0], np.cumsum(lines.chars[order])])
+    before = total[:-1] - total[lines.first[doc]]
+    bound = np.zeros(len(label), bool)
+    bound[order] = 2 * before <= (total[lines.first[1:]] - total[lines.first[:-1]])[doc]
+    label[bound] = quality[doc[bound]]
+    return label
+
+
+def fit_documents(lines: Lines, quality: np.ndarray) -> LineField:
+    """The field of lines whose documents have the given labels."""
+    alone = Lines(np.arange(len(lines.chars) + 1), lines.chars, lines.features)
+    weights = LineField.fit(alone, np.repeat(quality, np.diff(lines.first))).weights
+    return LineField.fit(lines, line_labels(lines, quality, lines.features @ (weights[:, 1] - weights[:, 0])))
+
+
+def fit_field(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample_docs: int, sample_lines: int, sample_doc_lines: int) -> LineField | None:
     """Fit on a bounded sample; None if one of the labels has no documents."""
     marks = labels.select(F.col("doc_id").alias("__id"), F.col("quality").alias("__q")).where(F.col("__id").isNotNull() & F.col("__q").isin(0, 1))
     picked = None
@@ -214,25 +243,28 @@ def fit_field(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sa
     def run(batches):
         for chunk in chunks(batches):
             _, lines = measure(chunk)
-            per_doc = [lines.features[a:b].tobytes() for a, b in zip(lines.first[:-1], lines.first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([chunk.ids, chunk.rows.column(2), pa.array(per_doc, pa.binary())], ["id", "label", "features"])
+            places = mix(chunk.ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            held, chars = [], []
+            for a, b, place in zip(lines.first[:-1].tolist(), lines.first[1:].tolist(), places.tolist(), strict=True):
+                a += place % (max(b - a - sample_doc_lines, 0) + 1)
+                b = min(b, a + sample_doc_lines)
+                held.append(lines.features[a:b].tobytes())
+                chars.append(lines.chars[a:b].astype(np.int64).tobytes())
+            yield pa.RecordBatch.from_arrays([chunk.ids, chunk.rows.column(2), pa.array(held, pa.binary()), pa.array(chars, pa.binary())], ["id", "label", "features", "chars"])
 
     # features of at most 2 * sample_docs documents; only so many lines of them reach the driver
-    found = sample.select("__id", "__text", F.col("__q").cast("int")).mapInArrow(run, "id long, label int, features binary")
+    found = sample.select("__id", "__text", F.col("__q").cast("int")).mapInArrow(run, "id long, label int, features binary, chars binary")
     taken, lines_taken = [], 0
-    width = 4 * len(FEATURES)
-    ordered = found.where(F.length("features") <= width * (sample_lines // 10)).orderBy(F.xxhash64("id"), "id")
-    for row in ordered.toLocalIterator(prefetchPartitions=False):
-        taken.append((row.label, np.frombuffer(bytes(row.features), np.float32).reshape(-1, len(FEATURES))))
+    for row in found.orderBy(F.xxhash64("id"), "id", "label", F.md5("features")).toLocalIterator(prefetchPartitions=False):
+        taken.append((row.label, np.frombuffer(bytes(row.features), np.float32).reshape(-1, len(FEATURES)), np.frombuffer(bytes(row.chars), np.int64)))
         lines_taken += len(taken[-1][1])
         if lines_taken >= sample_lines:
             break
-    if len({label for label, f in taken if len(f)}) < 2:
+    if len({label for label, f, _ in taken if len(f)}) < 2:
         return None
-    first = np.concatenate([[0], np.cumsum([len(f) for _, f in taken])])
-    y = np.concatenate([np.full(len(f), label, np.int64) for label, f in taken])
-    lines = Lines(first, np.ones(len(y), np.int64), np.concatenate([f for _, f in taken]))
-    return LineField.fit(lines, y)
+    first = np.concatenate([[0], np.cumsum([len(f) for _, f, _ in taken])])
+    lines = Lines(first, np.concatenate([c for _, _, c in taken]), np.concatenate([f for _, f, _ in taken]))
+    return fit_documents(lines, np.array([label for label, _, _ in taken], np.int64))
 
 
 def quality(
@@ -244,14 +276,15 @@ def quality(
     min_share: float = 0.5,
     sample_docs: int = 1000,
     sample_lines: int = 60_000,
+    sample_doc_lines: int = 6_000,
 ) -> DataFrame:
     """One row per row of ``docs``: base counts, base_failed, n_lines, content_share and kept.
 
     A null or empty text has no words: base_failed, share 0, not kept. Null ids and
-    repeated rows are rows like others. If the labels don't hold both classes, the
+    repeated rows are rows like others; texts are scored whole at any length. If the labels don't hold both classes, the
     field can't be fitted and every line counts as content. Empty table: no rows.
     """
-    field = fit_field(docs, labels, id_col, text_col, sample_docs, sample_lines)
+    field = fit_field(docs, labels, id_col, text_col, sample_docs, sample_lines, sample_doc_lines)
     model = None if field is None else (field.weights, field.steps)
 
     def run(batches):

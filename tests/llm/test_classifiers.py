@@ -73,6 +73,58 @@ def test_quality_follows_the_labels(spark):
     assert all(got[i] for i, _ in good) and not any(got[i] for i, _ in bad)
 
 
+def mixed_rows():
+    rng = random.Random(6)
+    prose = lambda: " ".join(words(rng, 14, 9000)) + "."
+    table = lambda: "### " + " | ".join(w.upper() for w in words(rng, 6, 9000))
+    good = [(i, "\n".join([prose() for _ in range(6)] + [table() for _ in range(i % 3)])) for i in range(90)]
+    bad = [(1000 + i, "\n".join([prose() for _ in range(i % 3)] + [table() for _ in range(6)])) for i in range(90)]
+    return good, bad
+
+
+def test_lines_of_mixed_documents_are_told_apart(spark):
+    good, bad = mixed_rows()
+    marks = labels(spark, [(i, 1, 0) for i, _ in good[:45]] + [(i, 0, 0) for i, _ in bad[:45]])
+    got = {r.doc_id: r for r in line_crf.quality(frame(spark, good + bad), marks).collect()}
+    for d, text in good + bad:
+        lines = text.split("\n")
+        size = lambda x: len(x.replace(" ", ""))
+        content = sum(size(x) for x in lines if not x.startswith("###"))
+        assert got[d].content_share == content / sum(map(size, lines)) and got[d].kept == (d < 1000)
+
+
+def test_shares_agree_with_all_labellings(spark):
+    good, bad = mixed_rows()
+    docs, marks = frame(spark, good + bad), labels(spark, [(i, 1, 0) for i, _ in good] + [(i, 0, 0) for i, _ in bad])
+    model = line_crf.fit_field(docs, marks, "doc_id", "text", 40, 500, 4)
+    got = {r.doc_id: r for r in line_crf.quality(docs, marks, sample_docs=40, sample_lines=500, sample_doc_lines=4).collect()}
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in good + bad]), pa.array([t for _, t in good + bad])], ["doc_id", "text"])
+    for chunk in chunks([batch]):
+        _, lines = line_crf.measure(chunk)
+        emit = lines.features @ model.weights
+        for d, a, b in zip(chunk.ids.to_pylist(), lines.first[:-1], lines.first[1:], strict=True):
+            score = lambda y, a=a: sum(emit[a + i, k] for i, k in enumerate(y)) + sum(model.steps[p, q] for p, q in itertools.pairwise(y))
+            best = max(itertools.product((0, 1), repeat=b - a), key=score)
+            share = sum(c for c, y in zip(lines.chars[a:b], best, strict=True) if y) / sum(lines.chars[a:b])
+            assert got[d].content_share == share and got[d].kept == (not got[d].base_failed and share >= 0.5)
+
+
+def test_line_labels_keep_to_their_documents():
+    rng = np.random.default_rng(8)
+    lengths = [4, 1, 7, 0, 3, 5]
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    lines = line_crf.Lines(first, rng.integers(1, 50, first[-1]), np.zeros((first[-1], 1), np.float32))
+    quality = np.array([1, 0, 0, 1, 1, 0])
+    evidence = rng.normal(size=first[-1])
+    got = line_crf.line_labels(lines, quality, evidence)
+    for q, a, b in zip(quality, first[:-1], first[1:], strict=True):
+        order = sorted(range(a, b), key=lambda i: -evidence[i] if q else evidence[i])
+        held, half = 0, sum(lines.chars[a:b]) / 2
+        for i in order:
+            assert got[i] == (q if held <= half else evidence[i] > 0)
+            held += lines.chars[i]
+
+
 def toxic_rows():
     rng = random.Random(9)
     clean = [(i, " ".join(words(rng, 40, 3000))) for i in range(400)]
