@@ -14,9 +14,10 @@ a whole: once the shorter remainder can't reach the needed overlap, the rest of
 block is skipped. Rareness comes from a bounded table of the most frequent shingles;
 it moves work, never results.
 
-Counts of elements in hash buckets travel with the lists and bound every pair's
-overlap; pairs that can't reach the threshold are not sent on. A list of many sets
-is dealt into cells, each a task's work of its own.
+Entries without a partner of another family and of a fitting size leave their list
+first. Counts of elements in hash buckets travel with the others and bound every
+pair's overlap; pairs that can't reach the threshold are not sent on. A list of many
+sets is dealt into cells, each a task's work of its own.
 
 *Answers from similar sets*: only leaders are intersected. By the triangle inequality
 of Jaccard distance no members can link if the leaders are further apart than the
@@ -88,9 +89,10 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def bucket_counts(s: np.ndarray) -> bytes:
-    """How many elements fall into each of about n / 8 hash buckets (255: at least so many)."""
+    """How many elements fall into each of about n / 8 hash buckets (15: at least so many), two counts a byte."""
     bits = max(4, (len(s) // 8).bit_length())
-    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+    counts = np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 15).astype(np.uint8)
+    return (counts[::2] << 4 | counts[1::2]).tobytes()
 
 
 def signatures(docs: DataFrame, k: int, hot_local: int = 8) -> DataFrame:
@@ -143,13 +145,14 @@ def may_link(left: list[bytes], right: list[bytes], sizes: np.ndarray, slack: np
     bound = np.zeros(n, np.int64)
     for shape in np.unique(lengths, axis=0):
         rows = np.flatnonzero((lengths == shape).all(1))
-        m, step = int(shape.min()), max(1, (4 << 20) // int(shape.max()))
+        m, step = int(shape.min()), max(1, (2 << 20) // int(shape.max()))
         for start in range(0, len(rows), step):
             part = rows[start : start + step]
             folded = []
             for side in (left, right):
-                v = np.frombuffer(b"".join(side[i] for i in part.tolist()), np.uint8).reshape(len(part), m, -1).astype(np.int32)
-                folded.append(np.where(v == 255, 1 << 24, v).sum(2))
+                v = np.frombuffer(b"".join(side[i] for i in part.tolist()), np.uint8)
+                v = np.stack([v >> 4, v & 15], 1).reshape(len(part), 2 * m, -1).astype(np.int32)
+                folded.append(np.where(v == 15, 1 << 24, v).sum(2, dtype=np.int64))
             bound[part] = np.minimum(*folded).sum(1)
     bound = np.minimum(bound, sizes.min(1))
     return 1 - bound / np.maximum(sizes.sum(1) - bound, 1) <= 1 - percent / 100 + slack + 1e-9
@@ -188,22 +191,26 @@ def sort_keys(s: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 
 def index_rows(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(token, f1, n, rest) for the prefix of every set; equal sets give equal rows."""
+    """(token, f1, n, rest) for the prefix of every set; equal sets of several tasks give equal rows."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
-        table = shared.value
+        table, seen = shared.value, set()
         for chunk in chunks(batches):
             token, owner, size, rest = [], [], [], []
             for s in shingle_sets(chunk, k):
                 n = len(s)
                 if not n:
                     continue
+                f1, f2 = fingerprint(s)
+                if (n, f1, f2) in seen:
+                    continue
+                seen.add((n, f1, f2))
                 p = prefix_length(n, percent)
                 keys = sort_keys(s, table)
                 keys = np.sort(np.partition(keys, p - 1)[:p]) if p < n else np.sort(keys)
                 token.append(keys)
-                owner.append(np.full(p, fingerprint(s)[0]))
+                owner.append(np.full(p, f1))
                 size.append(np.full(p, n, np.int32))
                 rest.append(n - 1 - np.arange(p, dtype=np.int32))
             if token:
@@ -212,6 +219,31 @@ def index_rows(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.
     return docs.select("id", "text").mapInArrow(run, "token long, f1 long, n int, rest int")
 
 
+def with_partners(rows: DataFrame, percent: int) -> DataFrame:
+    """Index rows that meet another set of a fitting size in their list, with the ``length`` of what is left of it.
+
+    In the order of sizes a set fits one of its neighbours or none. Rows are dealt out
+    by token once, for all three steps; equal rows become one when most are gone.
+    """
+    sizes = Window.partitionBy("token").orderBy("n")
+    before, after, n = F.lag("n").over(sizes).cast("long"), F.lead("n").over(sizes).cast("long"), F.col("n").cast("long")
+    near = rows.repartition("token").withColumn("before", before).withColumn("after", after)
+    near = near.where((100 * F.col("before") >= percent * n) | (100 * n >= percent * F.col("after")))
+    once = near.groupBy("token", "f1", "n").agg(F.max("rest").alias("rest"))
+    return once.withColumn("length", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("length > 1")
+
+
+def of_several_families(lists: DataFrame, percent: int) -> DataFrame:
+    """(list, fam, n, rest), once each, of lists in which two families meet; where only two entries do, they can reach the overlap."""
+    once = lists.repartition("list").groupBy("list", "fam", "n").agg(F.max("rest").alias("rest"))
+    w = Window.partitionBy("list")
+    what = {"entries": F.count(F.lit(1)), "one": F.min("fam"), "other": F.max("fam"), "small": F.min("n"), "large": F.max("n"), "least": F.min("rest")}
+    marked = once.select("*", *(c.over(w).alias(x) for x, c in what.items()))
+    size = F.col("small").cast("long") + F.col("large")
+    pair = (100 * F.col("small").cast("long") >= percent * F.col("large").cast("long")) & ((100 + percent) * (1 + F.col("least").cast("long")) >= percent * size)
+    return marked.where((F.col("one") < F.col("other")) & ((F.col("entries") > 2) | pair)).select("list", "fam", "n", "rest")
+
+
 def split_long_lists(lists: DataFrame) -> DataFrame:
     """``lists`` (token, length, f1, ...) with ``list`` in place of token: a list of over CELL sets becomes cells.
 
@@ -487,11 +519,11 @@ def _classes(rows: DataFrame, k: int, percent: int, frequent: int, count_links:
     radius = F.max(1 - F.col("overlap") / (F.col("na") + F.col("size") - F.col("overlap")))
     families = members.groupBy("fam").agg(radius.alias("radius"), F.count(F.lit(1)).alias("c"))
 
-    # index lists of at least two sets, then of families
-    lists = index_rows(rows, k, percent, hot).groupBy("token", "f1", "n").agg(F.max("rest").alias("rest"))
-    lists = lists.withColumn("length", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("length > 1")
+    # index lists of at least two sets, then of families; a bit table leaves out most copies
+    first = with_possible(rows, "id", bit_table(reps, "rep"), "first").where("first")
+    lists = with_partners(index_rows(first, k, percent, hot), percent)
     of = reps.select("f1", "n", "rep").join(members.select(F.col("member").alias("rep"), "fam"), "rep", "left").select("f1", "n", F.coalesce("fam", "rep").alias("fam"))
-    lists = split_long_lists(lists).join(of, ["f1", "n"]).groupBy("list", "fam", "n").agg(F.max("rest").alias("rest"))
+    lists = of_several_families(split_long_lists(lists).join(of, ["f1", "n"]), percent)
     leaders = reps.select(F.col("rep").alias("fam"), "f1", F.col("n").alias("size"), "buckets").join(families.select("fam", "radius"), "fam", "left").fillna(0.0, ["radius"])
     lists = lists.join(leaders, "fam").repartition("list").sortWithinPartitions("list", "n", F.desc("rest"), "fam")
     pairs = cut(candidate_pairs(lists.select("list", "fam", "n", "rest", "f1", "size", "radius", "buckets"), percent))

@@ -111,6 +111,33 @@ def test_bucket_counts_bound_the_overlap():
     assert not op.may_link([op.bucket_counts(x)], [op.bucket_counts(far)], np.array([[len(x), len(far)]]), np.zeros(1), 50)[0]
 
 
+def test_bucket_counts_take_half_a_byte_each():
+    rng = np.random.default_rng(7)
+    for n in (5, 100, 400, 9000):
+        assert len(op.bucket_counts(np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)))) <= max(8, n // 8)
+
+
+def test_index_lists_keep_every_entry_with_a_partner(spark):
+    """Entries that meet no other family of a fitting size go, before anything is joined to them; no pair goes."""
+    rng = random.Random(9)
+    rows = [(rng.randrange(12), f, 20 + f % 37 * 3, 5 + rng.randrange(60)) for f in range(150)]
+    rows += [r for r in rows if r[1] % 10 == 0] + [(77, 900, 50, 40), (77, 901, 100, 90), (78, 902, 30, 29)]
+    found = op.with_partners(spark.createDataFrame(rows, "token long, f1 long, n int, rest int"), 85).collect()
+    fits = lambda x, y: 100 * min(x[2], y[2]) >= 85 * max(x[2], y[2])
+    want = {x for x in rows if any(x[0] == y[0] and x[1] != y[1] and fits(x, y) for y in rows)}
+    lengths = {token: sum(x[0] == token for x in want) for token in range(80)}
+    assert want <= {tuple(r)[:4] for r in found} and {r.token for r in found} <= set(range(12))
+    assert all(r.length >= lengths[r.token] for r in found) and len(found) == len({r[:2] for r in found})
+
+    lists = [(t, f % 40, n, rest) for t, f, n, rest in rows] + [(80, 1, 100, 99), (80, 2, 100, 3), (81, 1, 100, 99), (81, 2, 101, 98), (82, 1, 100, 99), (82, 1, 101, 99)]
+    kept = {tuple(r) for r in op.of_several_families(spark.createDataFrame(lists, "list long, fam long, n int, rest int"), 85).collect()}
+    best = {x[:3]: max(y[3] for y in lists if y[:3] == x[:3]) for x in lists}
+    once = [(*x, rest) for x, rest in best.items()]
+    reach = lambda x, y: fits(x, y) and 1 + min(x[3], y[3]) >= op.needed_overlap(x[2] + y[2], 85)
+    assert {x for x in once if any(x[0] == y[0] and x[1] != y[1] and reach(x, y) for y in once)} <= kept <= set(once)
+    assert {x[0] for x in kept} & {77, 78, 80, 81, 82} == {81}
+
+
 def test_rare_shingles_come_first():
     s = np.sort(np.array([10, 20, 2**63 + 5], np.uint64))
     keys = op.sort_keys(s, (np.array([10], np.uint64), np.array([7], np.uint64)))
