@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,6 +87,103 @@ def ratio_from(least: float):
     return bounded
 
 
+# fixed values: letters by their code modulo this, grams of a cell's texts and the bits they are marked in
+LETTERS, CELL_GRAM, MARK_BITS = 64, 4, 20
+
+
+def marked(t: np.ndarray) -> np.ndarray:
+    """Places of a text's grams among 2**MARK_BITS, the nth occurrence of a gram with a place of its own."""
+    h = np.zeros(max(len(t) - CELL_GRAM + 1, 0), np.uint64)
+    for i in range(CELL_GRAM):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + t[i : i + len(h)]
+    h.sort()
+    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    nth = np.arange(len(h)) - np.repeat(start, np.diff(np.append(start, len(h))))
+    h = (h + nth.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ h >> np.uint64(32)) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - MARK_BITS)).astype(np.int32)
+
+
+def near_in_cell(ids: np.ndarray, texts: list[str], short: np.ndarray, long: np.ndarray, least: float):
+    """(i, j) of a short and a long text that may reach ``least``: by lengths, by letters and by shared grams, a text against many.
+
+    The bounds are those of ``may_reach``. The texts come by rising length. Of equal
+    lengths the smaller id counts as the shorter.
+    """
+    points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) for t in texts]
+    n = np.array([len(t) for t in points], np.int64)
+    letters = np.stack([np.bincount((t % np.uint64(LETTERS)).astype(np.int64), minlength=LETTERS) for t in points]).astype(np.int32)
+    grams: dict[int, np.ndarray] = {}
+    table = np.zeros(1 << MARK_BITS, bool)
+    for i in np.flatnonzero(short).tolist():
+        low, high = np.searchsorted(n, n[i]), np.searchsorted(n, (2 / least - 1) * n[i] + 1, "right")
+        j = low + np.flatnonzero(long[low:high] & ((n[low:high] > n[i]) | (ids[low:high] > ids[i])))
+        j = j[2 * n[i] >= least * (n[j] + n[i])]
+        j = j[np.minimum(letters[j], letters[i]).sum(1) >= least * (n[j] + n[i]) / 2]
+        if not len(j):
+            continue
+        for x in (i, *j.tolist()):
+            if x not in grams:
+                grams[x] = marked(points[x])
+        table[grams[i]] = True
+        ends = np.cumsum([len(grams[x]) for x in j.tolist()])
+        held = np.concatenate([[0], np.cumsum(table[np.concatenate([grams[x] for x in j.tolist()])])])
+        shared = held[ends] - held[np.concatenate([[0], ends[:-1]])]
+        table[grams[i]] = False
+        total = n[j] + n[i]
+        for x in j[shared >= (2 * CELL_GRAM - 1) * least * total / 2 - (CELL_GRAM - 1) * (total + 1)].tolist():
+            yield i, x
+
+
+def near_in_cells(least: float):
+    """For mapInArrow: (first_id, doc_id, a, b) of pairs that may reach ``least``.
+
+    Rows (cell, id, m, short, long, text) come in the order of cell, length, id, m; equal rows count once.
+    """
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows and held and held[-1].column(0)[-1].as_py() != batch.column(0)[0].as_py():
+                yield from of(pa.Table.from_batches(held))
+                held = []
+            if batch.num_rows and batch.column(0)[0].as_py() != batch.column(0)[-1].as_py():
+                rows = pa.Table.from_batches([*held, batch])
+                names = rows.column(0).to_pylist()
+                last = names.index(names[-1])
+                yield from of(rows.slice(0, last))
+                held = rows.slice(last).to_batches()
+            elif batch.num_rows:
+                held.append(batch)
+        if held:
+            yield from of(pa.Table.from_batches(held))
+
+    def of(rows):
+        keys = list(zip(*(rows.column(c).to_pylist() for c in range(3)), strict=True))
+        fresh = [i for i, k in enumerate(keys) if not i or k != keys[i - 1]]
+        edge = [x for x, i in enumerate(fresh) if not x or keys[i][0] != keys[fresh[x - 1]][0]] + [len(fresh)]
+        out: list[list] = []
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            part = rows.take(fresh[a:b])
+            ids, short, long = (part.column(c).to_numpy() for c in (1, 3, 4))
+            if not short.any() or b - a < 2:
+                continue
+            texts = part.column(5).to_pylist()
+            for i, j in near_in_cell(ids, texts, short, long, least):
+                first, second = (i, j) if ids[i] < ids[j] else (j, i)
+                out.append([int(ids[first]), int(ids[second]), texts[first], texts[second]])
+                if len(out) == 500:
+                    yield batch_of(out)
+                    out = []
+        if out:
+            yield batch_of(out)
+
+    def batch_of(out):
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["first_id", "doc_id", "a", "b"])
+
+    return run
+
+
 def segments_of(a: str, b: str) -> list[dict]:
     """Changed token runs between two texts."""
     x, y = TOKEN.findall(a), TOKEN.findall(b)

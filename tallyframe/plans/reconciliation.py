@@ -220,6 +220,10 @@ def text_ratio_pairs(spark, sf_dir):
     return near_texts(table(spark, sf_dir, "documents").select("doc_id", "text", F.split_part("text", F.lit("\n"), F.lit(1)).alias("heading")), 0.94)
 
 
+#: Pairs of a short and a long text in a cell, at most about so many.
+CELL_PAIRS = 2_000_000
+
+
 def near_texts(docs, least):
     """(first_id, doc_id, ratio) of doc_id, text, heading: all pairs of distinct texts under a heading, and each copy with the first of its text.
 
@@ -229,21 +233,30 @@ def near_texts(docs, least):
     bound = least - 0.0001
     # classes and headings by digests, so that only the texts to compare are shuffled more than once
     docs = docs.where("text is not null").select("doc_id", "text", F.md5("heading").alias("h"), F.md5("text").alias("m"))
-    classes = docs.groupBy("h", "m").agg(F.min("doc_id").alias("doc_id"), F.collect_list("doc_id").alias("ids"))
+    classes = docs.groupBy("h", "m").agg(F.min("doc_id").alias("doc_id"), F.collect_list("doc_id").alias("ids"), F.first(F.length("text")).alias("n"))
     copies = classes.where("size(ids) > 1").select(F.col("doc_id").alias("first_id"), F.explode("ids").alias("doc_id"), F.lit(1.0).alias("ratio")).where("doc_id <> first_id")
-    several = classes.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
-    wanted = classes.join(several, "h").select("h", "m", "doc_id")
-    texts = docs.select("doc_id", "m", "text").join(wanted, ["doc_id", "m"]).dropDuplicates(["doc_id", "m"])
-    texts = texts.select("h", "text", F.col("doc_id").alias("id"), F.length("text").alias("n"))
     # a ratio can't be higher than the lengths allow: partners are in one band or in the next
     widest = 2 / bound - 1
-    texts = texts.withColumn("band", F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(widest * 1.001)))
-    short = texts.select("h", "band", *(F.col(c).alias(f"s_{c}") for c in ("text", "id", "n")))
-    long = texts.withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
-    pairs = short.join(long, ["h", "band"]).where("s_n < n or (s_n = n and s_id < id)").where(2 * F.col("s_n") >= bound * (F.col("n") + F.col("s_n")))
-    swap = lambda x, y: F.when(F.col("s_id") < F.col("id"), F.col(x)).otherwise(F.col(y))
-    pairs = pairs.select(F.least("id", "s_id").alias("first_id"), F.greatest("id", "s_id").alias("doc_id"), swap("s_text", "text").alias("a"), swap("text", "s_text").alias("b"))
-    scored = pairs.select("first_id", "doc_id", F.round(textdiff.ratio_from(bound)(F.col("a"), F.col("b")), 4).alias("ratio"))
+    band = F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(widest * 1.001))
+    placed = classes.select("h", "m", F.col("doc_id").alias("id"), "n", band.alias("own"))
+    placed = placed.withColumn("band", F.explode(F.array("own", F.col("own") - 1)))
+    short = F.col("own") == F.col("band")
+    groups = placed.groupBy("h", "band").agg(F.count(F.when(short, 1)).alias("s"), F.count(F.lit(1)).alias("c")).where("s > 0 and c > 1")
+    # many texts are dealt into parts; each pair of parts is a cell, a task's work of its own
+    parts = F.ceil(F.sqrt(F.col("s").cast("double") * F.col("c") / CELL_PAIRS)).cast("int")
+    placed = placed.join(groups.select("h", "band", parts.alias("parts")), ["h", "band"]).withColumn("part", F.pmod(F.xxhash64("id", "m"), F.col("parts")).cast("int"))
+    each = F.sequence(F.lit(0), F.col("parts") - 1)
+    cell = lambda i, j, s, w: F.struct(F.concat_ws("/", "h", F.col("band").cast("string"), i.cast("string"), j.cast("string")).alias("cell"), s.alias("short"), w.alias("long"))
+    as_short = F.transform(each, lambda x: cell(F.col("part"), x, F.lit(True), x == F.col("part")))
+    as_long = F.transform(F.filter(each, lambda x: ~short | (x != F.col("part"))), lambda x: cell(x, F.col("part"), F.lit(False), F.lit(True)))
+    cells = placed.withColumn("at", F.explode(F.when(short, F.concat(as_short, as_long)).otherwise(as_long)))
+    rows = cells.select("at.cell", "id", "m", "at.short", "at.long", "n").join(docs.select(F.col("doc_id").alias("id"), "m", "text"), ["id", "m"])
+    rows = rows.repartition("cell").sortWithinPartitions("cell", "n", "id", "m").select("cell", "id", "m", "short", "long", "text")
+    pairs = rows.mapInArrow(textdiff.near_in_cells(bound), "first_id long, doc_id long, a string, b string")
+    pairs = pairs.repartition(F.xxhash64("first_id", "doc_id"))
+    # else the filter below would take the ratio before pairs are dealt out, and again after
+    score = textdiff.ratio_from(bound).asNondeterministic()
+    scored = pairs.select("first_id", "doc_id", F.round(score(F.col("a"), F.col("b")), 4).alias("ratio"))
     return scored.where(F.col("ratio") >= least).unionByName(copies)
 
 

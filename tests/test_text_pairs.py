@@ -1,6 +1,8 @@
 import difflib
 import random
 
+import numpy as np
+
 from tallyframe.functions import textdiff
 from tallyframe.plans import registry  # noqa: F401  (loads the plans in their order)
 from tallyframe.plans import reconciliation as op
@@ -53,3 +55,29 @@ def test_the_bound_never_rules_out_a_pair():
         b = edited(rng, a, rng.randrange(6))
         ratio = difflib.SequenceMatcher(None, a, b).ratio()
         assert all(textdiff.may_reach(a, b, least) for least in (0.5, 0.8, 0.94) if ratio >= least)
+
+
+def test_a_cell_keeps_every_pair_and_few_others():
+    rng = random.Random(13)
+    texts = []
+    for size in (1, 3, 40, 200, 900):
+        for _ in range(6):
+            base = "".join(rng.choices("abcdefgh  ", k=size))
+            texts += [base, edited(rng, base, size // 40), edited(rng, base, size // 20)]
+    texts = sorted({*texts, ""}, key=lambda t: (len(t), t))
+    ids = np.array(rng.sample(range(1000), len(texts)))
+    order = sorted(range(len(texts)), key=lambda i: (len(texts[i]), ids[i]))
+    ids, texts = ids[order], [texts[i] for i in order]
+    every = np.ones(len(texts), bool)
+    got = list(textdiff.near_in_cell(ids, texts, every, every, 0.94))
+    near = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if max(difflib.SequenceMatcher(None, *p).ratio() for p in ((texts[i], texts[j]), (texts[j], texts[i]))) >= 0.94}
+    assert len(got) == len(set(got)) and near and near <= set(got)
+    assert sum(len(texts[i]) > 30 for i, _ in got) <= 2 * len([p for p in near if len(texts[p[0]]) > 30]) + 40
+
+
+def test_ratios_are_taken_once_in_tasks_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(op, "CELL_PAIRS", 20)  # several cells
+    docs = spark.createDataFrame(rows(), "doc_id long, text string, heading string")
+    plan = op.near_texts(docs, 0.94)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    test_all_pairs_of_a_heading(spark)
