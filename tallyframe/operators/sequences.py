@@ -56,10 +56,14 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def row_lines(df: DataFrame, group: list[str], position: str, tolerance: float, out: str = "line") -> DataFrame:
-    """Number of the line: a gap of over ``tolerance`` to the previous position starts a new one."""
-    w = Window.partitionBy(*group).orderBy(position)
+    """Number of the line: a gap of over ``tolerance`` to the previous position starts a new one.
+
+    Rows of one position share a line; rows without a position come last, each in a line of its own.
+    """
+    w = Window.partitionBy(*group).orderBy(F.asc_nulls_last(position))
     fresh = F.coalesce(F.col(position) - F.lag(position).over(w) > tolerance, F.lit(True))
-    return df.withColumn("__new", fresh.cast("int")).withColumn(out, F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    tied = w.orderBy(F.asc_nulls_last(position), F.desc("__new"))  # of equal positions the row that begins the line comes first
+    return df.withColumn("__new", fresh.cast("int")).withColumn(out, F.sum("__new").over(tied.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
 def clusters_from_start(positions: Column, tolerance: float) -> Column:

@@ -91,6 +91,13 @@ def test_sequences(spark):
     assert starts.first().c == [1.0, 4.5, 10.0]
 
 
+def test_row_lines_without_position_come_last(spark):
+    df = spark.createDataFrame([(1, 100), (1, None), (1, 5), (1, 130), (1, 5), (1, None), (1, 100), (2, None), (None, 7)], "g int, n int")
+    got = sorted(((r.g, r.n, r.line) for r in sequences.row_lines(df, ["g"], "n", 60).collect()), key=str)
+    want = [(1, 5, 1), (1, 5, 1), (1, 100, 2), (1, 100, 2), (1, 130, 2), (1, None, 3), (1, None, 4), (2, None, 1), (None, 7, 1)]
+    assert got == sorted(want, key=str)
+
+
 def test_run_diff_and_gold(spark):
     run = lambda *r: spark.createDataFrame(r, "k string, decision string, reason string")
     base = run(("a", "matched", "x"), ("b", "matched", "x"), ("c", "mismatch", "x"), ("d", "manual", "x"), ("e", "manual", "x"), ("f", "manual", "x"))

@@ -44,6 +44,16 @@ def test_query_agrees_with_sql(spark, sql, name):
         assert normal(got) == normal(want)
 
 
+def test_gap_clusters_agrees_with_sql_on_orders_without_a_day(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    days = ["NULL", "TIMESTAMP '2000-05-01 23:00:00'", "TIMESTAMP '2000-05-01 01:00:00'", "TIMESTAMP '1969-12-31 12:00:00'", "NULL", "TIMESTAMP '2000-06-30 00:00:00'"]
+    con = duckdb.connect(config={"threads": 1})  # with more threads the SQL's second window may put equal days in any order
+    con.sql("create table orders as " + " union all ".join(f"select {i}::bigint as o_orderkey, {c} as o_custkey, {d} as o_orderdate" for c in ("1::bigint", "NULL::bigint") for i, d in enumerate(days)))
+    con.sql(f"copy orders to '{tmp_path}/orders.parquet' (format parquet)")
+    got = QUERIES["gap_clusters"](spark, str(tmp_path)).toPandas()
+    assert normal(got) == normal(con.sql(ORACLE_SQL["gap_clusters"]).df())
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
