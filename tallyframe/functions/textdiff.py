@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
 
@@ -29,7 +30,8 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 GRAM = 5
-KEPT_CHARACTERS = 4_000_000
+# fixed value: pairs in runs listed at once; beyond it difflib finds the blocks
+RUNS = 2_000_000
 
 
 def counted(text: str) -> tuple:
@@ -71,67 +73,172 @@ def may_reach(a: str, b: str, least: float, known: dict | None = None) -> bool:
     return common(x, y) >= need and common(g, h) >= (2 * GRAM - 1) * need - (GRAM - 1) * (total + 1)
 
 
+def points_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+class Blocks:
+    """The longest blocks of a ``difflib.SequenceMatcher`` without junk, whose blocks grow from runs of rare characters.
+
+    Pairs of equal rare characters that follow such a pair are listed; where a part of the texts
+    has none of them, the first pair of equal rare characters counts, or else what both parts begin with.
+    """
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        self.a, self.b = a, b
+        if max(a.max(initial=0), b.max(initial=0)) >= 1 << 16:
+            both = np.unique(np.concatenate([a, b]), return_inverse=True)[1]
+            a, b = both[: len(a)], both[len(a) :]
+        kinds = int(max(a.max(initial=0), b.max(initial=0))) + 1
+        count = np.bincount(b, minlength=kinds)
+        rare = (count > 0) & (count <= (len(b) // 100 + 1 if len(b) >= 200 else len(b)))
+        i, j = np.flatnonzero(rare[a]), np.flatnonzero(rare[b])
+        self.rare = list(zip(i.tolist(), a[i].tolist(), strict=True))
+        self.rare_at = i
+        self.places: dict[int, list[int]] = {}
+        for c, x in zip(b[j].tolist(), j.tolist(), strict=True):
+            self.places.setdefault(c, []).append(x)
+        # pairs by their characters and those before, in the order of i, then of j
+        i, j = i[1:][np.diff(i) == 1], j[1:][np.diff(j) == 1]
+        x, y = (t[k - 1].astype(np.int64) * kinds + t[k] for t, k in ((a, i), (b, j)))
+        order = np.argsort(y, kind="stable")
+        y, j = y[order], j[order]
+        low = np.searchsorted(y, x)
+        each = np.searchsorted(y, x, "right") - low
+        self.size = int(each.sum())
+        if self.size > RUNS:
+            return
+        self.i = np.repeat(i, each)
+        j = j[np.repeat(low - np.cumsum(each) + each, each) + np.arange(self.size)]
+        self.j, self.shift = j, self.i - j
+        # where the run that ends with a pair begins
+        run = np.lexsort((self.i, self.shift))
+        fresh = np.ones(self.size, bool)
+        fresh[1:] = (np.diff(self.shift[run]) != 0) | (np.diff(self.i[run]) != 1)
+        self.first = np.empty(self.size, np.int64)
+        if self.size:
+            self.first[run] = self.i[run][fresh][np.cumsum(fresh) - 1] - 1
+
+    def find_longest_match(self, alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int]:
+        x, y, k = self.longest_run(alo, ahi, blo, bhi) or self.first_pair(alo, ahi, blo, bhi) or (alo, blo, 0)
+        back = min(x - alo, y - blo)
+        if back:
+            differs = np.flatnonzero(self.a[x - back : x] != self.b[y - back : y])
+            back = back - 1 - int(differs[-1]) if len(differs) else back
+        on = min(ahi - x - k, bhi - y - k)
+        if on:
+            differs = np.flatnonzero(self.a[x + k : x + k + on] != self.b[y + k : y + k + on])
+            on = int(differs[0]) if len(differs) else on
+        return x - back, y - back, back + k + on
+
+    def longest_run(self, alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int] | None:
+        low, high = np.searchsorted(self.i, (alo, ahi)).tolist()
+        if low == high:
+            return None
+        i, j = self.i[low:high], self.j[low:high]
+        size = i + 1 - np.maximum(np.maximum(self.first[low:high], alo), self.shift[low:high] + blo)
+        size[(j < blo) | (j >= bhi)] = 0
+        best = int(size.argmax())
+        k = int(size[best])
+        return (int(i[best]) + 1 - k, int(j[best]) + 1 - k, k) if k > 1 else None
+
+    def first_pair(self, alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int] | None:
+        for at in range(int(np.searchsorted(self.rare_at, alo)), len(self.rare)):
+            i, c = self.rare[at]
+            if i >= ahi:
+                return None
+            js = self.places.get(c, ())
+            k = bisect.bisect_left(js, blo)
+            if k < len(js) and js[k] < bhi:
+                return i, js[k], 1
+        return None
+
+
+def ratio_or_less(a: str, b: str, least: float) -> float | None:
+    """The matching-block ratio if it is at least ``least``, else null: ends as soon as the blocks to come can't reach it."""
+    total = len(a) + len(b)
+    finder = Blocks(points_of(a), points_of(b))
+    if finder.size > RUNS:
+        finder = difflib.SequenceMatcher(None, a, b)
+    matched, open_, parts = 0, min(len(a), len(b)), [(0, len(a), 0, len(b))]
+    while parts and total and 2.0 * (matched + open_) / total >= least:
+        alo, ahi, blo, bhi = parts.pop()
+        i, j, k = finder.find_longest_match(alo, ahi, blo, bhi)
+        open_ -= min(ahi - alo, bhi - blo)
+        matched += k
+        if k:
+            for part in ((alo, i, blo, j), (i + k, ahi, j + k, bhi)):
+                least_side = min(part[1] - part[0], part[3] - part[2])
+                if least_side:
+                    open_ += least_side
+                    parts.append(part)
+    out = 2.0 * (matched + open_) / total if total else 1.0
+    return out if out >= least else None
+
+
 def ratio_from(least: float):
-    """``ratio`` where it can be ``least`` or more, else null."""
+    """``ratio`` where it is ``least`` or more, else null."""
 
     @F.pandas_udf(T.DoubleType())
     def bounded(a: pd.Series, b: pd.Series) -> pd.Series:
-        out, known, size = [], {}, 0
-        for x, y in zip(a, b, strict=True):
-            size += (x not in known) * len(x) + (y not in known) * len(y)
-            if size > KEPT_CHARACTERS:
-                known, size = {}, len(x) + len(y)
-            out.append(ratio_of(x, y) if may_reach(x, y, least, known) else None)
-        return pd.Series(out, dtype="float64")
+        return pd.Series([ratio_or_less(x, y, least) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     return bounded
 
 
-# fixed values: letters by their code modulo this, grams of a cell's texts and the bits they are marked in
-LETTERS, CELL_GRAM, MARK_BITS = 64, 4, 20
+# fixed values: letters by their code modulo this; grams of cells with and without texts below SHORT_TEXT
+LETTERS, SHORT_GRAM, LONG_GRAM, SHORT_TEXT = 64, 4, 8, 400
+
+
+def rare(t: np.ndarray) -> int:
+    """How many characters of a text may begin a block of the matcher if the text comes second: long texts lose their frequent letters."""
+    if len(t) < 200:
+        return len(t)
+    c = np.bincount(t) if t.max() < 1 << 16 else np.unique(t, return_counts=True)[1]
+    return int(c[c <= len(t) // 100 + 1].sum())
 
 
-def marked(t: np.ndarray) -> np.ndarray:
-    """Places of a text's grams among 2**MARK_BITS, the nth occurrence of a gram with a place of its own."""
-    h = np.zeros(max(len(t) - CELL_GRAM + 1, 0), np.uint64)
-    for i in range(CELL_GRAM):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + t[i : i + len(h)]
-    h.sort()
-    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    nth = np.arange(len(h)) - np.repeat(start, np.diff(np.append(start, len(h))))
-    h = (h + nth.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x9E3779B97F4A7C15)
-    return ((h ^ h >> np.uint64(32)) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - MARK_BITS)).astype(np.int32)
+def signature(t: np.ndarray, gram: int, bits: int) -> np.ndarray:
+    """A text's grams of 4 or 8 characters as bits of 2**bits, in words of 64."""
+    h = t.astype(np.uint64)
+    for step in (1, 2, 4)[: gram.bit_length() - 1]:
+        h = (h[:-step] * np.uint64(0x9E3779B97F4A7C15) ^ h[:-step] >> np.uint64(29)) + h[step:]
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    table = np.zeros(1 << bits, bool)
+    table[(h ^ h >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)] = True
+    return np.packbits(table).view(np.uint64)
 
 
 def near_in_cell(ids: np.ndarray, texts: list[str], short: np.ndarray, long: np.ndarray, least: float):
     """(i, j) of a short and a long text that may reach ``least``: by lengths, by letters and by shared grams, a text against many.
 
-    The bounds are those of ``may_reach``. The texts come by rising length. Of equal
-    lengths the smaller id counts as the shorter.
+    Blocks of M characters in all break at most M into grams less (gram - 1) a block. There is
+    at most one block more than characters without a partner (as in ``may_reach``), and one more
+    than rare characters of the second text: the matcher begins a block at one of these, or where
+    both texts begin. A gram whose bit the other text lacks isn't shared. The texts come by
+    rising length. Of equal lengths the smaller id counts as the shorter.
     """
-    points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) for t in texts]
-    n = np.array([len(t) for t in points], np.int64)
-    letters = np.stack([np.bincount((t % np.uint64(LETTERS)).astype(np.int64), minlength=LETTERS) for t in points]).astype(np.int32)
-    grams: dict[int, np.ndarray] = {}
-    table = np.zeros(1 << MARK_BITS, bool)
+    n = np.array([len(t) for t in texts], np.int64)
+    gram = SHORT_GRAM if n[0] < SHORT_TEXT else LONG_GRAM
+    bits = max(10, (4 * int(n[-1])).bit_length())
+    letters, signs, seeds = np.zeros((len(n), LETTERS), np.int32), np.zeros((len(n), 1 << bits - 6), np.uint64), np.zeros(len(n), np.int64)
+    for x, text in enumerate(texts):
+        t = points_of(text)
+        letters[x], signs[x], seeds[x] = np.bincount(t % np.uint32(LETTERS), minlength=LETTERS), signature(t, gram, bits) if len(t) >= gram else 0, rare(t)
+    count, marks = np.maximum(n - gram + 1, 0), np.bitwise_count(signs).sum(1, dtype=np.int64)
     for i in np.flatnonzero(short).tolist():
         low, high = np.searchsorted(n, n[i]), np.searchsorted(n, (2 / least - 1) * n[i] + 1, "right")
         j = low + np.flatnonzero(long[low:high] & ((n[low:high] > n[i]) | (ids[low:high] > ids[i])))
         j = j[2 * n[i] >= least * (n[j] + n[i])]
         j = j[np.minimum(letters[j], letters[i]).sum(1) >= least * (n[j] + n[i]) / 2]
-        if not len(j):
-            continue
-        for x in (i, *j.tolist()):
-            if x not in grams:
-                grams[x] = marked(points[x])
-        table[grams[i]] = True
-        ends = np.cumsum([len(grams[x]) for x in j.tolist()])
-        held = np.concatenate([[0], np.cumsum(table[np.concatenate([grams[x] for x in j.tolist()])])])
-        shared = held[ends] - held[np.concatenate([[0], ends[:-1]])]
-        table[grams[i]] = False
-        total = n[j] + n[i]
-        for x in j[shared >= (2 * CELL_GRAM - 1) * least * total / 2 - (CELL_GRAM - 1) * (total + 1)].tolist():
-            yield i, x
+        for at in range(0, len(j), 256):  # a few at a time, so that the words stay in cache
+            k = j[at : at + 256]
+            need = least * (n[k] + n[i]) / 2
+            shared = need - (gram - 1) * (1 + np.minimum(n[k] + n[i] - 2 * need, np.maximum(seeds[k], seeds[i])))
+            both = np.bitwise_count(signs[k] & signs[i]).sum(1, dtype=np.int64)
+            lacks = np.maximum(marks[i] - count[i], marks[k] - count[k]) - both
+            for x in k[lacks <= -shared].tolist():
+                yield i, x
 
 
 def near_in_cells(least: float):

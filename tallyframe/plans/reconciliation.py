@@ -220,8 +220,8 @@ def text_ratio_pairs(spark, sf_dir):
     return near_texts(table(spark, sf_dir, "documents").select("doc_id", "text", F.split_part("text", F.lit("\n"), F.lit(1)).alias("heading")), 0.94)
 
 
-#: Pairs of a short and a long text in a cell, at most about so many.
-CELL_PAIRS = 2_000_000
+#: Pairs of a short and a long text in a cell, and characters of its texts: at most about so many.
+CELL_PAIRS, CELL_CHARACTERS = 2_000_000, 16_000_000
 
 
 def near_texts(docs, least):
@@ -241,9 +241,9 @@ def near_texts(docs, least):
     placed = classes.select("h", "m", F.col("doc_id").alias("id"), "n", band.alias("own"))
     placed = placed.withColumn("band", F.explode(F.array("own", F.col("own") - 1)))
     short = F.col("own") == F.col("band")
-    groups = placed.groupBy("h", "band").agg(F.count(F.when(short, 1)).alias("s"), F.count(F.lit(1)).alias("c")).where("s > 0 and c > 1")
+    groups = placed.groupBy("h", "band").agg(F.count(F.when(short, 1)).alias("s"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("t")).where("s > 0 and c > 1")
     # many texts are dealt into parts; each pair of parts is a cell, a task's work of its own
-    parts = F.ceil(F.sqrt(F.col("s").cast("double") * F.col("c") / CELL_PAIRS)).cast("int")
+    parts = F.ceil(F.greatest(F.sqrt(F.col("s").cast("double") * F.col("c") / CELL_PAIRS), 2 * F.col("t") / CELL_CHARACTERS, F.lit(1.0))).cast("int")
     placed = placed.join(groups.select("h", "band", parts.alias("parts")), ["h", "band"]).withColumn("part", F.pmod(F.xxhash64("id", "m"), F.col("parts")).cast("int"))
     each = F.sequence(F.lit(0), F.col("parts") - 1)
     cell = lambda i, j, s, w: F.struct(F.concat_ws("/", "h", F.col("band").cast("string"), i.cast("string"), j.cast("string")).alias("cell"), s.alias("short"), w.alias("long"))

@@ -81,3 +81,44 @@ def test_ratios_are_taken_once_in_tasks_of_their_own(spark, monkeypatch):
     plan = op.near_texts(docs, 0.94)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
     test_all_pairs_of_a_heading(spark)
+
+
+def prose(rng, size):
+    out = []
+    while sum(map(len, out)) < size:
+        words = ["".join(rng.choices(("the", "and", "ti", "on", "er", "es", "hea", "in", "ou"), k=rng.randrange(1, 4))) for _ in range(rng.randrange(4, 16))]
+        out.append(" ".join(words).capitalize() + rng.choice((". ", ", ", ".\n")))
+    return "".join(out)[:size]
+
+
+def test_long_texts_of_common_words_are_no_possible_pairs():
+    rng = random.Random(14)
+    texts = [prose(rng, 6000 + 20 * k) for k in range(12)]
+    texts.append(texts[-1].replace("Ti", "Tihea", 1))
+    every = np.ones(len(texts), bool)
+    assert list(textdiff.near_in_cell(np.arange(len(texts)), texts, every, every, 0.94)) == [(11, 12)]
+
+
+def test_the_bounded_ratio_is_the_matchers():
+    rng = random.Random(15)
+    han, wide = ([chr(first + k) for k in range(300)] for first in (0x4E00, 0x1F300))
+    pairs = [("", ""), ("", "a"), ("a", "")]
+    for letters in ("ab", "abcdefgh  ", list("abcdefghijklmnopqrstuvwxyz.,:é0123456789" + "e " * 30), han, wide):
+        for size in (1, 30, 199, 200, 201, 900):
+            for edits in (0, 1, size // 100, size // 20, size):
+                a = "".join(rng.choices(letters, k=size))
+                pairs.append((a, edited(rng, a, edits)))
+    pairs += [(prose(rng, 2000), prose(rng, 2000)), *((t, edited(rng, t, 9)) for t in (prose(rng, 3000) for _ in range(9)))]
+    for a, b in pairs:
+        ratio = difflib.SequenceMatcher(None, a, b).ratio()
+        for least in (0.0, 0.5, 0.9399, ratio):
+            assert textdiff.ratio_or_less(a, b, least) == (ratio if ratio >= least else None)
+
+
+def test_many_runs_are_left_to_difflib(monkeypatch):
+    monkeypatch.setattr(textdiff, "RUNS", 3)
+    rng = random.Random(16)
+    for _ in range(20):
+        a = "".join(rng.choices("abc ", k=60))
+        b = edited(rng, a, 3)
+        assert textdiff.ratio_or_less(a, b, 0.0) == difflib.SequenceMatcher(None, a, b).ratio()
