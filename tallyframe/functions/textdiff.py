@@ -265,6 +265,7 @@ def near_in_cells(least: float):
             yield from of(pa.Table.from_batches(held))
 
     def of(rows):
+        rows = rows.combine_chunks()  # else each cell's take would join the chunks again
         keys = list(zip(*(rows.column(c).to_pylist() for c in range(3)), strict=True))
         fresh = [i for i, k in enumerate(keys) if not i or k != keys[i - 1]]
         edge = [x for x, i in enumerate(fresh) if not x or keys[i][0] != keys[fresh[x - 1]][0]] + [len(fresh)]
